@@ -5,17 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seriesforge.llm import langid, pii, quality
 from seriesforge.llm._spark import table
 from seriesforge.llm.jaccard import jaccard_classes
 
 
+def fold(key: str, n: int):
+    """crc32 of a key as text, modulo n; null for a null key."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base spans, all spans, and how many of them the model added."""
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_added")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those whose fold modulo 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("key"), "text", "lang"))
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(rows, model)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training texts of the quality classifier: labelled documents whose fold modulo 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").where((fold("doc_id", 5) != 0) & F.col("quality").isNotNull())
+    return labels.select("doc_id", F.col("quality").alias("label"))
+
+
+def fit_quality(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    return quality.fit(labelled(spark, sf_dir), docs.select("doc_id", "text"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents, learned from those whose fold modulo 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
+    scored = quality.score(rows, fit_quality(spark, sf_dir, docs))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity of 0.75 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents"), w=5, percent=75)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op4_language": op4_language,
+    "op6_quality": op6_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
