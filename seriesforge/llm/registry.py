@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import langid, pii, quality
+from seriesforge.llm import langid, pieces, pii, quality
 from seriesforge.llm._spark import table
 from seriesforge.llm.jaccard import jaccard_classes
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentation of all documents: how many tokens, their digest, and whether decoding gives the text back."""
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    return both.select(
+        "doc_id", F.coalesce(F.octet_length("tokens") / 4, F.lit(0)).cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("tokens_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless")
+    )
+
+
 def fold(key: str, n: int):
     """crc32 of a key as text, modulo n; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % n
@@ -56,6 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_pieces": op2_pieces,
     "op4_language": op4_language,
     "op6_quality": op6_quality,
     "op10_jaccard_join": op10_jaccard_join,
