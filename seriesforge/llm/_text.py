@@ -20,8 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_WORD = _BYTE.copy()
-_BYTE_WORD[_SEP] = 0
+#: Anything but letters, digits and bytes of other scripts.
+NOT_ALNUM = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
@@ -74,14 +74,14 @@ def blocks(column, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, lower: bool = True, sep: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of rows: starts and ends in data, a 64-bit hash of each, and the first word of each row (n + 1 numbers)."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     if lower:
         data = _LOWER[data]
-    word = ~_SEP[data]
+    word = ~sep[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     inner = off[(off > 0) & (off < len(data))]
@@ -97,7 +97,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.nda
     # white space after a word has value 0, so its power does not matter
     longest = int((ends - starts).max())
     np.minimum(within, longest, out=within)
-    value = _BYTE_WORD[data[starts[0] :]] * powers(longest + 1)[within]
+    value = np.where(sep, np.uint64(0), _BYTE)[data[starts[0] :]] * powers(longest + 1)[within]
     h = mix(np.add.reduceat(value, starts - starts[0]) + (ends - starts).astype(np.uint64))
     return starts, ends, h, np.searchsorted(starts, off).astype(np.int64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import langid, pieces, pii, quality
+from seriesforge.llm import decontaminate, langid, lines, pieces, pii, quality
 from seriesforge.llm._spark import table
 from seriesforge.llm.jaccard import jaccard_classes
 
@@ -57,6 +57,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak, with the covered share of the item and the agreement of slots."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.round("agreement", 6).alias("agreement"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without recurring lines: how many lines they had, how many went, and the digest of what is left."""
+    kept = lines.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity of 0.75 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents"), w=5, percent=75)
@@ -65,7 +77,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_pieces": op2_pieces,
+    "op3_decontaminate": op3_decontaminate,
     "op4_language": op4_language,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
