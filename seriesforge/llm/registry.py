@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import decontaminate, langid, lines, pieces, pii, quality
+from seriesforge.llm import decontaminate, langid, licenses, lines, neighbours, pieces, pii, quality
 from seriesforge.llm._spark import table
 from seriesforge.llm.jaccard import jaccard_classes
 
@@ -69,6 +69,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for each embedding whose id is divisible by 100, against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+#: Documents as files: a directory for each hundred ids below source and language, of which the first is its licence
+#: file; the first of each thousand ids is that of the directory above.
+FILE_PATH = (
+    "concat(coalesce(source, '-'), '/', coalesce(lang, '-'), '/', case when doc_id % 1000 = 0 then 'LICENSE' "
+    "when doc_id % 100 = 0 then concat('d', cast(doc_id - doc_id % 100 as string), '/LICENSE') "
+    "else concat('d', cast(doc_id - doc_id % 100 as string), '/', cast(doc_id as string), '.txt') end)"
+)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, own and inherited from the nearest directory with a licence file."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(FILE_PATH).alias("path"), "text")
+    return licenses.scan(files)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity of 0.75 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents"), w=5, percent=75)
@@ -81,7 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
+    "op8_neighbours": op8_neighbours,
+    "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_licenses": licenses.oracle_sql(f"SELECT doc_id, {FILE_PATH} AS path, text FROM documents"),
+}
