@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm import decontaminate, langid, licenses, lines, neighbours, pieces, pii, quality
+from seriesforge.llm import decontaminate, html, langid, licenses, lines, neighbours, pieces, pii, quality
 from seriesforge.llm._spark import table
 from seriesforge.llm.jaccard import jaccard_classes
 
@@ -69,6 +69,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows found for each embedding whose id is divisible by 100, against all rows."""
     rows = table(spark, sf_dir, "embeddings")
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
+    "op7_main_text": op7_main_text,
     "op8_neighbours": op8_neighbours,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
