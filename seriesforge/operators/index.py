@@ -52,9 +52,10 @@ def exact_match(series: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def select_exact(samples: DataFrame, series: DataFrame, labels: dict[str, str], start: int, end: int) -> DataFrame:
-    """Samples of exactly matching series, by a semi-join with the index."""
-    wanted = exact_match(series, labels).select("series_id")
-    return samples.where(F.col("ts_ms").between(start, end)).join(wanted, "series_id", "left_semi")
+    """Samples of exactly matching series, by a semi-join with the index: on ids where samples have them, else on sorted labels."""
+    key = "series_id" if "series_id" in samples.columns else "label_key"
+    wanted = exact_match(series, labels).select(key)
+    return samples.where(F.col("ts_ms").between(start, end)).join(wanted, key, "left_semi")
 
 
 def labels_of(series: DataFrame, series_id: int) -> DataFrame:

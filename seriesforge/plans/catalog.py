@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.labels import canonical, fingerprint, label_key, label_or_blank
+from seriesforge.functions.labels import canonical, label_or_blank
 from seriesforge.operators import compaction, index, ingestion, selectors
 from seriesforge.operators.matchers import eq, neq, not_regex, regex
 from seriesforge.sources import blocks, tables
@@ -205,8 +205,7 @@ def postings_union(spark, sf_dir):
 @query(f"{_EVENTS} SELECT event_type, user_id, ts_ms, value FROM s WHERE event_type = 'purchase' AND region = 'r2' AND ts_ms BETWEEN {START} AND {END}")
 def select_exact(spark, sf_dir):
     """Exact selection by a semi-join of samples with the index."""
-    e = _events(spark, sf_dir).withColumn("series_id", fingerprint(label_key(F.col("labels"))))
-    return _shown(index.select_exact(e, _series(spark, sf_dir), {"event_type": "purchase", "region": "r2"}, START, END), "event_type", "user_id")
+    return _shown(index.select_exact(tables.keyed(_events(spark, sf_dir)), _series(spark, sf_dir), {"event_type": "purchase", "region": "r2"}, START, END), "event_type", "user_id")
 
 
 @query(f"{_EVENTS} SELECT count(*) AS series FROM (SELECT DISTINCT event_type, user_id FROM s)")
