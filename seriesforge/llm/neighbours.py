@@ -30,6 +30,8 @@ SAMPLE = 8192
 LEAF, MOST_DEPTH = 40, 7
 #: Share of the forest's leaves that a query reads.
 SHARE = 0.3
+#: Entries for each result wanted that a query reads at least: a small table is read whole.
+LEAST_READ = 64
 #: Entries of a leaf that one task compares at once.
 BLOCK = 4096
 
@@ -124,7 +126,7 @@ def _assign(batches: Iterator[pa.RecordBatch], forest, salts: int) -> Iterator[p
 def _route(batches: Iterator[pa.RecordBatch], names, size: int, forest, salts: int, share: float) -> Iterator[pa.RecordBatch]:
     trees = forest.value
     count = 2 ** len(trees[0])
-    reads = max(1, math.ceil(share * len(trees) * count))
+    reads = min(len(trees) * count, max(1, math.ceil(share * len(trees) * count)))
     for batch in batches:
         found = list(_vectors(batch, names, size))
         for a in range(0, len(found), 64):
@@ -182,6 +184,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_name: str =
         return empty
     sample = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow().column("vec").to_pylist()
     depth = min(MOST_DEPTH, max(1, math.ceil(math.log2(max(2, n / LEAF)))))
+    share = max(share, LEAST_READ * k / n)
     forest = spark.sparkContext.broadcast(grow(np.stack([np.frombuffer(v, "<f8") for v in sample]), TREES, depth))
     salts = max(1, math.ceil(n / 2**depth / BLOCK))
     rows = entries.mapInArrow(lambda it: _assign(it, forest, salts), "tree int, leaf int, salt int, vec binary, ids array<long>")
