@@ -32,11 +32,13 @@ from seriesforge.llm._spark import ship_package
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words whose lattices a task keeps.
-WORDS_HELD = 200_000
+WORDS_HELD = 100_000
 #: Characters of the longest piece.
 LONGEST = 16
 #: Characters that are sampled together.
-CHUNK = 1 << 20
+CHUNK = 400_000
+#: Characters of new words whose lattices are built together.
+SLICE = 100_000
 _cut = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
@@ -113,10 +115,29 @@ class Lattices:
                 ids, new = self.ids, list(dict.fromkeys(found))
             for i, w in enumerate(new, len(ids)):
                 ids[w] = i
-            self._add(new)
+            parts, first, chars = [], 0, 0
+            for i, w in enumerate(new):
+                chars += len(w)
+                if chars >= SLICE:
+                    parts.append(self._build(new[first : i + 1], self.nodes + sum(len(p[1]) for p in parts), self.edges + sum(len(p[2]) for p in parts)))
+                    first, chars = i + 1, 0
+            if first < len(new):
+                parts.append(self._build(new[first:], self.nodes + sum(len(p[1]) for p in parts), self.edges + sum(len(p[2]) for p in parts)))
+            self.end, self.enter, self.limit, self.start, self.piece = (
+                np.concatenate([old, *(p[k] for p in parts)]) for k, old in enumerate((self.end, self.enter, self.limit, self.start, self.piece))
+            )
         return np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
 
-    def _add(self, new: list[str]) -> None:
+    @property
+    def nodes(self) -> int:
+        return len(self.enter)
+
+    @property
+    def edges(self) -> int:
+        return len(self.limit)
+
+    def _build(self, new: list[str], nodes: int, edges: int) -> tuple[np.ndarray, ...]:
+        """Arrays of new words, numbered on from so many nodes and edges."""
         p = self.pieces
         size = np.fromiter(map(len, new), np.int64, len(new))
         chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -163,14 +184,9 @@ class Lattices:
         limit = limit[row, d]
         enter = np.cumsum(count) - count
         limit[enter + count - 1] = 1 << 32
-        nodes, edges = len(self.enter), len(self.limit)
         entered = np.full(len(total), -1, np.int64)
         entered[node] = enter + edges
-        self.end = np.concatenate([self.end, begin + size + np.arange(len(new)) + nodes])
-        self.enter = np.concatenate([self.enter, entered])
-        self.limit = np.concatenate([self.limit, limit])
-        self.start = np.concatenate([self.start, (node[row] - 1 - d + nodes).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, incoming[row, d]])
+        return begin + size + np.arange(len(new)) + nodes, entered, limit, (node[row] - 1 - d + nodes).astype(np.int32), incoming[row, d]
 
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of word occurrences in order, and how many each has; one 64-bit seed for each occurrence."""
@@ -254,10 +270,12 @@ def decode_tokens(pieces: Pieces, tokens: bytes | None) -> str | None:
 def _encode(batches: Iterator[pa.RecordBatch], key: str, model: str, theta: float, seed: int) -> Iterator[pa.RecordBatch]:
     lattices = Lattices(vocabulary(model, theta))
     for batch in batches:
-        for first in range(0, batch.num_rows, 500):
-            b = batch.slice(first, 500)
+        for first in range(0, batch.num_rows, 250):
+            b = batch.slice(first, 250)
             tokens = encode_texts(lattices, b.column(key).to_pylist(), b.column("text").to_pylist(), seed)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.binary())], names=[*b.schema.names, "tokens"])
+    del lattices
+    _text.trim()
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
