@@ -82,7 +82,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(first, 500) for whole in batches for first in range(0, whole.num_rows, 500)):
         texts, dropped, total = [], [], []
         for t, drop, (_, tpl, begin) in zip(batch.column("text"), batch.column("drop"), line_templates(batch.column("text")), strict=True):
             text = t.as_py()
