@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,10 +58,23 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write and reread; rows: how many rows at most go to Python at once, where they are long."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(key)
+        if rows:
+            self.spark.conf.set(key, str(rows))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(key, usual)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let go of finished shuffles: Spark deletes their files once the driver has collected what refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

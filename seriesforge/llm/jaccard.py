@@ -13,8 +13,10 @@
 4. Nodes that share a signature are candidates.  A signature of up to ``SMALL``
    nodes gives its pairs.  In a larger one the nodes are compared with
    ``PIVOTS`` pivots; nodes that then are in one component need no more
-   comparing, so only those outside the signature's largest component are
-   compared with the nodes of other components.
+   comparing.  Those outside the signature's largest component meet other pivots
+   of it in ``ROUNDS`` rounds.  What then is still outside is compared with all
+   other components of its group (nodes that large signatures connect), block by
+   block, without making pairs.
 5. Pairs pass a bitmap bound (each differing bit is a differing shingle), then
    whole sets are intersected.
 
@@ -39,12 +41,20 @@ from seriesforge.llm.components import connected_components
 
 #: Bound of the broadcast list of frequent tokens (8 bytes each).
 MAX_FREQUENT = 1 << 18
+#: Texts, and pairs of whole sets, that go to Python at once.
+TEXTS, PAIRS = 1000, 200
+#: Node ids (8 bytes each) up to which they are broadcast.
+MAX_BROADCAST = 1 << 20
 #: Recurrences within tasks from which a token counts as frequent.
 FREQUENT = 6
 #: Nodes of a signature up to which its pairs are taken directly.
 SMALL = 12
 #: Pivots of a larger signature.
-PIVOTS = 4
+PIVOTS = 5
+#: Times that nodes outside a signature's largest component meet pivots of it.
+ROUNDS = 1
+#: Nodes on either side that are compared in one task.
+BLOCK = 1024
 #: Tokens held by a task before they are counted.
 _HELD = 2_000_000
 
@@ -156,9 +166,58 @@ def _sign(batches: Iterator[pa.RecordBatch], w: int, percent: int, frequent) ->
             yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns)})
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bitmap of a set, of twice as many bits as it has tokens or more, a power of two."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by signature: those of signatures that several nodes have, and whether these are more than ``SMALL``.
+
+    A signature's rows are held until it is known to be large, then passed on at once; a node may come again there.
+    """
+    names = ("sig", "node", "n")
+    carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    streaming = None
+
+    def batch_of(rows, mask, large):
+        return pa.record_batch({**{c: x[mask] for c, x in zip(names, rows, strict=True)}, "large": large[mask]})
+
+    def settle(rows, last: bool):
+        """Distinct rows in order; what to pass on, and what to carry."""
+        nonlocal streaming
+        order = np.lexsort((rows[1], rows[0]))
+        rows = [x[order] for x in rows]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+        rows = [x[fresh] for x in rows]
+        sig = rows[0]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(sig) != 0]))
+        count = np.diff(np.append(begin, len(sig)))
+        large = np.repeat(count > SMALL, count)
+        keep = np.repeat(count > 1, count)
+        if streaming is not None:
+            old = sig == streaming
+            large |= old
+            keep |= old
+        rest = [x[:0] for x in rows]
+        if not last:
+            end = sig == sig[-1]
+            if large[-1]:
+                streaming = sig[-1]
+            else:
+                rest = [x[end] for x in rows]
+                keep &= ~end
+        return batch_of(rows, keep, large), rest
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate([c, batch.column(k).to_numpy()]) for c, k in zip(carry, names, strict=True)]
+        out, carry = settle(rows, False)
+        yield out
+    if len(carry[0]):
+        yield settle(carry, True)[0]
+
+
+def bitmap(s: np.ndarray, width: int = 2) -> bytes:
+    """A bitmap of a set, of width times as many bits as it has tokens or more, a power of two."""
+    bits = max(64, 1 << (width * len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -176,24 +235,25 @@ def bitmap_differs(x: bytes, y: bytes) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, ns, bits, raw, held = [], [], [], [], 0
+        nodes, ns, bits, wide, raw, held = [], [], [], [], [], 0
         for want, s in zip(batch.column("node").to_pylist(), _text.shingle_sets(batch.column("text"), w), strict=True):
             if node_of(s) != want:
                 continue
             nodes.append(want)
             ns.append(len(s))
             bits.append(bitmap(s))
+            wide.append(bitmap(s, 8))
             raw.append(s.tobytes())
             held += len(s)
             if held > 1_000_000:
-                yield _set_batch(nodes, ns, bits, raw)
-                nodes, ns, bits, raw, held = [], [], [], [], 0
-        yield _set_batch(nodes, ns, bits, raw)
+                yield _set_batch(nodes, ns, bits, wide, raw)
+                nodes, ns, bits, wide, raw, held = [], [], [], [], [], 0
+        yield _set_batch(nodes, ns, bits, wide, raw)
 
 
-def _set_batch(nodes, ns, bits, raw) -> pa.RecordBatch:
+def _set_batch(nodes, ns, bits, wide, raw) -> pa.RecordBatch:
     return pa.record_batch(
-        {"node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "bits": pa.array(bits, pa.binary()), "tokens": pa.array(raw, pa.binary())}
+        {"node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "bits": pa.array(bits, pa.binary()), "wide": pa.array(wide, pa.binary()), "tokens": pa.array(raw, pa.binary())}
     )
 
 
@@ -225,6 +285,7 @@ def shingle_nodes(scratch: Scratch, docs: DataFrame, w: int) -> tuple[DataFrame,
     stats = scratch.keep(
         "stats",
         docs.select("doc_id", "text").mapInArrow(lambda it: _stats(it, w), "kind byte, doc_id long, node long, n long"),
+        TEXTS,
     )
     top = (
         stats.where("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT)
@@ -239,58 +300,97 @@ def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int,
     nodes, frequent = shingle_nodes(scratch, docs, w)
     shared = spark.sparkContext.broadcast(frequent)
     rows = docs.select("doc_id", "text").mapInArrow(lambda it: _sign(it, w, percent, shared), "sig long, node long, n int")
-    rows = rows.repartition("sig")
-    # copies in several tasks count several times here: the size only tells which way a signature goes
-    open_sig = rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("sig", "size")
-    held = scratch.keep("held", rows.join(open_sig, "sig").groupBy("sig", "node").agg(F.first("n").alias("n"), F.first("size").alias("size")))
+    held = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long, n int, large boolean")
+    held = scratch.keep("held", held)
 
+    scratch.release()
     wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = scratch.keep(
         "sets",
-        docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, w), "node long, n long, bits binary, tokens binary"),
+        docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, w), "node long, n long, bits binary, wide binary, tokens binary"),
+        TEXTS,
     )
 
-    def verified(name: str, pairs: DataFrame) -> DataFrame:
-        """Links among pairs ``(a < b, na, nb)``: sizes, then bitmaps, then whole sets are compared."""
+    scratch.release()
+
+    def verified(name: str, pairs: DataFrame, bounded: bool = False) -> DataFrame:
+        """Links among pairs ``(a < b, na, nb)``: sizes, then bitmaps (unless bounded by them already), then whole sets are compared."""
         pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-        near = (
+        near = pairs if bounded else (
             pairs.join(sets.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
             .mapInArrow(lambda it: _bounded(it, percent), "a long, b long, na int, nb int")
         )
-        return scratch.keep(
+        near = scratch.keep(f"near-{name}", near)
+        scratch.release()
+        # whole sets are moved for the nodes of these pairs only
+        ids = scratch.keep(f"ids-{name}", near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        some = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+        whole = scratch.keep(f"whole-{name}", sets.select("node", "tokens").join(some, "node", "left_semi"))
+        out = scratch.keep(
             f"links-{name}",
-            near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+            near.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+            .join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
             .mapInArrow(_intersected, "a long, b long, na int, nb int, common long")
             .where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
             .select(F.col("a").alias("u"), F.col("b").alias("v")),
+            PAIRS,
         )
+        scratch.drop(f"near-{name}", f"ids-{name}", f"whole-{name}")
+        return out
 
-    few, many = held.where(F.col("size") <= SMALL).drop("size"), held.where(F.col("size") > SMALL).drop("size")
-    pivots = many.groupBy("sig").agg(F.array_distinct(F.array(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("x"))
-    pivots = pivots.select("sig", F.explode("x").alias("x")).select("sig", "x.node", "x.n")
+    few, many = held.where("not large").drop("large"), held.where("large").drop("large")
+    pivots = _pivots(many, 0)
     links = verified("first", _paired(few, few, ordered=True).unionByName(_paired(pivots, many)))
     roots = connected_components(Scratch(spark, "jaccard-cc"), links)
-
-    rooted = scratch.keep("rooted", many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    part = rooted.groupBy("sig", "root").agg(F.count("*").alias("c"))
-    main = scratch.keep("main", part.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1"))
-    if main.isEmpty():
-        return nodes, roots
-    rest = scratch.keep("rest", rooted.join(main, "sig").where("root <> main").select("sig", "node", "n", "root"))
-    more = verified("rest", _paired(rest, rooted, apart=True))
+    scratch.release()
+
+    for i in range(ROUNDS + 1):
+        rooted = scratch.keep(f"rooted{i}", many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        part = rooted.groupBy("sig", "root").agg(F.count("*").alias("c"))
+        main = part.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
+        main = scratch.keep(f"main{i}", main.where("roots > 1").select("sig", "main"))
+        if main.isEmpty():
+            return nodes, roots
+        if i == ROUNDS:
+            break
+        # those outside the largest component meet some of its members, other ones in each round
+        both = scratch.keep(f"parted{i}", rooted.join(main, "sig"))
+        chosen = _pivots(both.where("root = main"), PIVOTS * (i + 1))
+        met = verified(f"round{i}", _paired(chosen, both.where("root <> main").select("sig", "node", "n")))
+        scratch.drop(f"rooted{i}", f"main{i}", f"parted{i}")
+        roots = connected_components(Scratch(spark, "jaccard-cc"), roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(met))
+        scratch.release()
+    # nodes that large signatures connect form a group: what shares a signature is in one
+    star = many.join(many.groupBy("sig").agg(F.min("node").alias("low")), "sig").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    group = connected_components(Scratch(spark, "jaccard-cc"), star).select("node", F.col("root").alias("group"))
+    each = rooted.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    each = scratch.keep("each", each.join(group, "node"))
+    per = each.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("largest"))
+    per = scratch.keep("groups", per.where("size > largest").select("group", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int").alias("parts")))
+    still = scratch.keep("still", each.join(per, "group").join(sets.select("node", F.col("wide").alias("bits")), "node"))
+    blocks, parts = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "parts"))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    columns = ["group", "part", "block", "node", "n", "root", "bits"]
+    rest = still.where("root <> main").withColumn("part", own("parts")).withColumn("block", blocks).select(columns)
+    every = still.withColumn("block", own("blocks")).withColumn("part", parts).select(columns)
+    keys = ["group", "part", "block"]
+    near = rest.groupBy(keys).cogroup(every.groupBy(keys)).applyInArrow(lambda x, y: _compared(x, y, percent), "a long, b long, na int, nb int")
+    more = verified("rest", near, bounded=True)
     merged = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
     return nodes, connected_components(Scratch(spark, "jaccard-cc"), merged)
 
 
-def _paired(x: DataFrame, y: DataFrame, ordered: bool = False, apart: bool = False) -> DataFrame:
-    """Rows of x and y that share a signature, as pairs a < b; apart: of different roots only."""
-    left = x.select("sig", F.col("node").alias("p"), F.col("n").alias("np"), *([F.col("root").alias("q")] if apart else []))
-    both = left.join(y, "sig").where("p < node" if ordered else "p <> node")
-    if apart:
-        both = both.where("q <> root")
+def _pivots(rows: DataFrame, seed: int) -> DataFrame:
+    """Up to PIVOTS nodes of each signature, by hashes: mostly the same ones where signatures have the same nodes."""
+    x = F.array_distinct(F.array(*[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(seed + i))) for i in range(PIVOTS)]))
+    return rows.groupBy("sig").agg(x.alias("x")).select("sig", F.explode("x").alias("x")).select("sig", "x.node", "x.n")
+
+
+def _paired(x: DataFrame, y: DataFrame, ordered: bool = False) -> DataFrame:
+    """Rows of x and y that share a signature, as pairs a < b."""
+    both = x.select("sig", F.col("node").alias("p"), F.col("n").alias("np")).join(y, "sig").where("p < node" if ordered else "p <> node")
     first = F.col("p") < F.col("node")
     return both.select(
         F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"),
@@ -298,6 +398,40 @@ def _paired(x: DataFrame, y: DataFrame, ordered: bool = False, apart: bool = Fal
     )
 
 
+def _compared(x: pa.Table, y: pa.Table, percent: int) -> pa.Table:
+    """Of x against y, blocks of one group's nodes: the pairs of different roots that sizes and bitmaps allow."""
+
+    def columns(t):
+        return *(t.column(c).to_numpy() for c in ("node", "n", "root")), [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
+
+    xn, xs, xr, xb = columns(x)
+    yn, ys, yr, yb = columns(y)
+    found = []
+    widths = [np.array([len(b) for b in bits]) for bits in (xb, yb)]
+    for wx in np.unique(widths[0]):
+        for wy in np.unique(widths[1]):
+            i, j = np.flatnonzero(widths[0] == wx), np.flatnonzero(widths[1] == wy)
+            w = min(wx, wy)
+            p = np.bitwise_or.reduce(np.stack([xb[k] for k in i]).reshape(len(i), -1, w), 1)
+            q = np.bitwise_or.reduce(np.stack([yb[k] for k in j]).reshape(len(j), -1, w), 1)
+            for first in range(0, len(i), 64):
+                k = i[first : first + 64]
+                small, large = np.minimum(xs[k, None], ys[None, j]), np.maximum(xs[k, None], ys[None, j])
+                ok = (xr[k, None] != yr[None, j]) & (small.astype(np.int64) * 100 >= large.astype(np.int64) * percent)
+                u, v = np.nonzero(ok)
+                for at in range(0, len(u), 50_000):
+                    a, b = u[at : at + 50_000], v[at : at + 50_000]
+                    differs = np.bitwise_count(p[first + a] ^ q[b]).sum(1, dtype=np.int64)
+                    keep = differs * (100 + percent) <= (xs[k[a]].astype(np.int64) + ys[j[b]]) * (100 - percent)
+                    found.append(np.stack([k[a[keep]], j[b[keep]]]))
+    i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    swap = xn[i] > yn[j]
+    return pa.table({
+        "a": np.where(swap, yn[j], xn[i]), "b": np.where(swap, xn[i], yn[j]),
+        "na": np.where(swap, ys[j], xs[i]).astype(np.int32), "nb": np.where(swap, xs[i], ys[j]).astype(np.int32),
+    })
+
+
 def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id.
 
@@ -315,7 +449,8 @@ def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75) -> DataFrame
     rooted = scratch.keep("rep", rep.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     low = scratch.keep("low", rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = scratch.keep("named", rooted.join(low, "root").select("node", "component_id"))
-    scratch.drop("held", "sets", "rooted", "rest", "main")
+    scratch.drop("held", "sets", f"rooted{ROUNDS}", "still", "each", "groups", f"main{ROUNDS}", f"parted{ROUNDS}")
+    scratch.release()
     return nodes.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
