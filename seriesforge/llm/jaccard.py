@@ -328,6 +328,10 @@ def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int,
         ids = scratch.keep(f"ids-{name}", near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         some = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
         whole = scratch.keep(f"whole-{name}", sets.select("node", "tokens").join(some, "node", "left_semi"))
+        if bounded:
+            # the last comparison: nothing below reads these again
+            scratch.drop("sets", "held", "still", "each", f"rooted{ROUNDS}", f"parted{ROUNDS}")
+            scratch.release()
         out = scratch.keep(
             f"links-{name}",
             near.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
