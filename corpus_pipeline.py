@@ -29,9 +29,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one of smallest doc_id stays."""
+    """Of linked documents the one of smallest doc_id stays; passages that those left share go from all but one, and documents left blank go."""
     gone = jaccard.jaccard_classes(docs, w=5, percent=75).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = lines.drop_repeated_passages(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    emptied = (F.col("n_cut") > 0) & (F.trim("text") == "")
+    return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_cut") > 0, length).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

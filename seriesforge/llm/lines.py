@@ -8,6 +8,11 @@ that stretch is a variable field.  A template found in ``MIN_DOCS`` documents or
 more recurs: its lines are dropped from all of them but the one of smallest
 doc_id.  Templates are 64-bit hashes, so finding those that recur is one grouped
 count over the whole corpus; no leaf is gathered anywhere.
+
+Passages are runs of ``PASSAGE`` tokens, wherever lines end.  Each run has an anchor,
+the least hash of the ``ANCHOR``-token runs in it, so equal runs have equal anchors.  Only
+runs whose anchor is in two documents or more are hashed whole and counted; a run
+stays in the document of smallest doc_id, the others lose the tokens it covers.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ MIN_TOKENS = 3
 LEADING = 3
 FIELDS = 4
 GENERAL_FROM = 8
+#: Tokens of a passage, which recurs from two documents on, and of an anchor.
+PASSAGE = 50
+ANCHOR = 16
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
 _VARIABLE = np.uint64(0x6A09E667F3BCC909)
@@ -123,3 +131,105 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     joined = docs.join(drops, "doc_id", "left")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "drop"))
     return joined.mapInArrow(_rewrite, f"{kept}, text string, n_lines long, n_dropped long")
+
+
+def _least(g: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w consecutive values."""
+    m, k = g, 1
+    while 2 * k <= w:
+        m = np.minimum(m[:-k], m[k:])
+        k *= 2
+    return np.minimum(m[: len(g) - w + 1], m[w - k : len(g) - k + 1])
+
+
+def _passages(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row: hash and anchor of each run of PASSAGE tokens, and where its tokens start and end in its bytes."""
+    for a, b, data, off in _text.blocks(column):
+        starts, ends, h, first = _text.words(data, off, lower=False)
+        runs = _text.windows(h, PASSAGE)
+        anchors = _least(_text.windows(h, ANCHOR), PASSAGE - ANCHOR + 1) if len(runs) else runs
+        for i in range(b - a):
+            s, e = int(first[i]), int(first[i + 1])
+            inside = slice(s, max(s, e - PASSAGE + 1))
+            yield runs[inside], anchors[inside], starts[s:e] - off[i], ends[s:e] - off[i]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for i, (_, anchors, _, _) in zip(batch.column("doc_id").to_pylist(), _passages(batch.column("text")), strict=True):
+            found.append(np.unique(anchors))
+            ids.append(np.full(len(found[-1]), i, np.int64))
+        yield pa.record_batch({"doc_id": np.concatenate(ids), "anchor": np.concatenate(found).view(np.int64)})
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(first, 500) for whole in batches for first in range(0, whole.num_rows, 500)):
+        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for i, known, (runs, anchors, _, _) in zip(batch.column("doc_id").to_pylist(), batch.column("anchors"), _passages(batch.column("text")), strict=True):
+            found.append(np.unique(runs[np.isin(anchors, known.values.to_numpy().view(np.uint64))]))
+            ids.append(np.full(len(found[-1]), i, np.int64))
+        yield pa.record_batch({"doc_id": np.concatenate(ids), "run": np.concatenate(found).view(np.int64)})
+
+
+def _without(text: bytes, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
+    """A text without some of its tokens, and how many lines it had of these only."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    out, at, lost = [], 0, 0
+    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        s, e = int(starts[i]), int(ends[j - 1])
+        opens = b"\n" in text[int(ends[i - 1]) : s] if i else True
+        after = text[e : int(starts[j])] if j < len(starts) else text[e:]
+        shuts = b"\n" in after or j == len(starts)
+        lines = 1 + sum(1 for k in range(i, j - 1) if b"\n" in text[int(ends[k]) : int(starts[k + 1])])
+        # lines cut at their begin or end are not lost
+        lost += max(0, lines - (not opens) - (not shuts))
+        out.append(text[at:s])
+        # what follows goes on in this place, in a line of its own where it had one and the cut began inside one
+        at = e + (after.index(b"\n") if b"\n" in after and not opens else len(after) if j < len(starts) else 0)
+    return b"".join([*out, text[at:]]), lost
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (whole.slice(first, 500) for whole in batches for first in range(0, whole.num_rows, 500)):
+        texts, lost, cuts = [], [], []
+        for t, drop, (runs, _, starts, ends) in zip(batch.column("text"), batch.column("drop"), _passages(batch.column("text")), strict=True):
+            text, n, gone = t.as_py(), 0, None
+            if text is not None and drop.is_valid:
+                hit = np.zeros(len(starts) + 1, np.int64)
+                at = np.flatnonzero(np.isin(runs, drop.values.to_numpy().view(np.uint64)))
+                np.add.at(hit, at, 1)
+                np.add.at(hit, at + PASSAGE, -1)
+                gone = np.cumsum(hit)[:-1] > 0
+                cut, n = _without(text.encode(), gone, starts, ends)
+                text = cut.decode()
+            texts.append(text)
+            lost.append(n)
+            cuts.append(0 if gone is None else int(gone.sum()))
+        names = [n for n in batch.schema.names if n not in ("text", "drop")]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(lost, pa.int64()), pa.array(cuts, pa.int64())], names=[*names, "text", "n_lost", "n_cut"])
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs(doc_id, text, ...)`` without the passages that a document of smaller id has too; n_lost, the lines that went whole, and n_cut, the tokens that went, are added.
+
+    Null texts, null and repeated ids are treated as in ``drop_recurring_lines``; columns named n_lost, n_cut, drop or anchors are replaced.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    scratch = Scratch(spark, "passages")
+    docs = scratch.keep("docs", docs.drop("n_lost", "n_cut", "drop", "anchors"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.keep("rows", texts.mapInArrow(_anchors, "doc_id long, anchor long"))
+    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    known = scratch.keep("known", rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    scratch.drop("rows")
+    runs = scratch.keep("runs", texts.join(known, "doc_id").mapInArrow(_runs, "doc_id long, run long"))
+    scratch.drop("known")
+    owned = runs.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("run", "owner")
+    drops = scratch.keep("drops", runs.join(owned, "run").where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("run").alias("drop")))
+    scratch.drop("runs")
+    scratch.release()
+    joined = docs.join(drops, "doc_id", "left")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "drop"))
+    return joined.mapInArrow(_cut, f"{kept}, text string, n_lost long, n_cut long")

@@ -228,6 +228,34 @@ def test_lines(spark, odd):
     assert lines.drop_recurring_lines(odd.limit(0)).count() == 0
 
 
+def test_passages(spark, odd):
+    rng = random.Random(7)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    passage, two, short = prose(90), prose(30) + "\n" + prose(40), prose(49)
+    texts = [f"{prose(40)} {passage} end", f"{two}\n{short}", f"begin {passage} {short} tail", f"head\n{two}\nlast", passage, None, f"a {prose(300)}"]
+    got = {r.doc_id: (r.text, r.n_lost) for r in lines.drop_repeated_passages(lines.drop_recurring_lines(docs(spark, texts))).collect()}
+    assert got[0] == (texts[0], 0) and got[1] == (texts[1], 0) and got[5] == (None, 0) and got[6] == (texts[6], 0)
+    assert got[2] == (f"begin {short} tail", 0) and got[3] == ("head\nlast", 2) and got[4] == ("", 1)
+    # against every run of some texts with long common parts
+    parts = [prose(n) for n in (12, 35, 49, 50, 51, 120)]
+    texts = ["\n".join(rng.choice(parts) + rng.choice(["", " x"]) for _ in range(5)) for _ in range(40)]
+    got = {r.doc_id: r.text.split() for r in lines.drop_repeated_passages(docs(spark, texts)).collect()}
+    owner = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = [False] * len(w)
+        for p in range(len(w) - 49):
+            if owner.setdefault(tuple(w[p : p + 50]), i) != i:
+                gone[p : p + 50] = [True] * 50
+        assert got[i] == [x for x, g in zip(w, gone, strict=True) if not g]
+    out = lines.drop_repeated_passages(odd).collect()
+    assert sorted(str(r.text) for r in out) == sorted(str(r.text) for r in odd.collect())
+    assert lines.drop_repeated_passages(odd.limit(0)).count() == 0
+
+
 # quality
 
 
