@@ -322,6 +322,21 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_split_host(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    menu, banner, phrase = "home news about", prose(14), prose(7)
+    own = [(prose(20), prose(20)) for _ in range(40)]
+    rows = [(i, f"http://a.org/{i}", f"<p>{menu}<p>{a} {banner if i in (3, 30) else phrase if i in (5, 25) else ''} {b}") for i, (a, b) in enumerate(own)]
+    want = {i: f"{a} {phrase} {b}" if i in (5, 25) else f"{a} {b}" for i, (a, b) in enumerate(own)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (html.GROUP, 60):
+        assert {r.page_id: r.text for r in html.extract(pages, group).collect()} == want
+
+
 # neighbours
 
 
