@@ -9,6 +9,11 @@ compared slot by slot: a value of the item must stand for one value of the text.
 A text leaks an item where consistent windows cover ``LEAST_COVERAGE`` of the
 item's tokens, so also when numbers, names or units were exchanged.
 
+Beside the templates stand the tokens as they are, in windows of the same length
+that hold fewer literals: exact copies of items of numbers and names, and of
+items too short for a window, are found by these.  Exact runs of ``LEAST_RUN`` tokens of an
+item leak it whatever share of it they are.
+
 The benchmark is read in blocks of a bounded number of characters, each of which
 is hashed on every task; texts are read once for each block.
 """
@@ -28,6 +33,8 @@ from seriesforge.llm._spark import ship_package
 WINDOW = 8
 LEAST_COVERAGE = 0.5
 LEAST_AGREEMENT = 0.75
+#: Tokens of an exact run that leaks an item of any length.
+LEAST_RUN = 50
 #: Bound of the benchmark text that is sent to tasks at once.
 BLOCK_CHARS = 8_000_000
 
@@ -61,6 +68,7 @@ class Template:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data = data
         self.starts, self.ends, h, self.first = _text.words(data, off, sep=_text.NOT_ALNUM)
+        self.plain = h
         if len(h):
             digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
             number = (digits[self.ends] > digits[self.starts]) | _among(h, _NUMBERS)
@@ -76,6 +84,9 @@ class Template:
         plain = np.concatenate([[0], np.cumsum(self.literal)])
         self.telling = plain[WINDOW:] - plain[:-WINDOW] >= WINDOW // 2 if len(h) >= WINDOW else np.zeros(0, bool)
 
+    def same(self, i: int, other: Template, j: int) -> bool:
+        return self.word(i) == other.word(j)
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
@@ -96,19 +107,37 @@ class Index:
         self.size = np.diff(t.first)
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        # by length of window: those that are compared as they are
+        self.exact: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        plain = _text.windows(t.plain, WINDOW)
         for i in range(len(ids)):
             s, e = int(t.first[i]), int(t.first[i + 1])
             if 0 < e - s < WINDOW:
                 if t.literal[s:e].sum() * 2 >= e - s and e - s >= 4:
                     self.short[e - s][int(_text.windows(t.tokens[s:e], e - s)[0])].append(i)
+                else:
+                    self.exact[e - s][int(_text.windows(t.plain[s:e], e - s)[0])].append((i, 0))
                 continue
             for p in range(s, e - WINDOW + 1):
                 if t.telling[p]:
                     self.at[int(t.windows[p])].append((i, p - s))
+                else:
+                    self.exact[WINDOW][int(plain[p])].append((i, p - s))
         self.keys = np.sort(np.array(list(self.at), np.uint64))
-
-    def leaks(self, t: Template, a: int, b: int, hits: np.ndarray) -> list[tuple[object, float, float]]:
-        """Items that row tokens a..b leak: id, coverage, agreement of slots.  hits: places whose window is known."""
+        self.exact_keys = {n: np.sort(np.array(list(of), np.uint64)) for n, of in self.exact.items()}
+
+    def exact_hits(self, t: Template) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length: places of t whose window is known as it is, and its hash."""
+        out = {}
+        for n, keys in self.exact_keys.items():
+            w = _text.windows(t.plain, n)
+            at = np.flatnonzero(~t.telling) if n == WINDOW else np.arange(len(w))
+            at = at[_among(w[at], keys)]
+            out[n] = at, w[at]
+        return out
+
+    def leaks(self, t: Template, a: int, b: int, hits: np.ndarray, exact: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[object, float, float]]:
+        """Items that row tokens a..b leak: id, coverage, agreement of slots.  hits, exact: places whose window is known, as a template or as it is."""
         diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
         for p in hits.tolist():
             for item, q in self.at[int(t.windows[p])]:
@@ -120,16 +149,37 @@ class Index:
                     for item in of[int(w[p])]:
                         diagonals[item, a + p].update(range(n))
         covered: dict[int, set[int]] = defaultdict(set)
+        runs: dict[tuple[int, int], set[int]] = defaultdict(set)
         agreement: dict[int, float] = {}
         for (item, d), places in sorted(diagonals.items()):
             share = self._agreement(t, item, d, places)
             if share >= LEAST_AGREEMENT:
                 covered[item] |= places
                 agreement[item] = max(share, agreement.get(item, 0.0))
+                runs[item, d] |= places
+        for n, (at, keys) in exact.items():
+            # a window must not run into the next row
+            first, last = np.searchsorted(at, [a, max(a, b - n + 1)]).tolist()
+            for p, key in zip(at[first:last].tolist(), keys[first:last].tolist(), strict=True):
+                for item, q in self.exact[n][key]:
+                    base = int(self.template.first[item]) + q
+                    if all(t.same(p + k, self.template, base + k) for k in range(n)):
+                        covered[item].update(range(q, q + n))
+                        agreement[item] = 1.0
+                        runs[item, p - q].update(range(q, q + n))
+        long = {item for (item, d), places in runs.items() if len(places) >= LEAST_RUN and self._run(t, item, d, places) >= LEAST_RUN}
         return [
-            (self.ids[i], len(c) / int(self.size[i]), agreement[i]) for i, c in sorted(covered.items()) if len(c) >= LEAST_COVERAGE * int(self.size[i])
+            (self.ids[i], len(c) / int(self.size[i]), agreement[i]) for i, c in sorted(covered.items()) if i in long or len(c) >= LEAST_COVERAGE * int(self.size[i])
         ]
 
+    def _run(self, t: Template, item: int, d: int, places: set[int]) -> int:
+        """The longest run of places at which text and item have the same token."""
+        base, best, length, last = int(self.template.first[item]), 0, 0, -2
+        for q in sorted(places):
+            length = (length + 1 if q == last + 1 else 1) if t.same(d + q, self.template, base + q) else 0
+            best, last = max(best, length), q
+        return best
+
     def _agreement(self, t: Template, item: int, d: int, places: set[int]) -> float:
         """The share of slots whose value in the text is the usual one for their value in the item; 1 without slots."""
         own, base = self.template, int(self.template.first[item])
@@ -145,12 +195,14 @@ def leaks_of(column, index: Index) -> Iterator[list[tuple[object, float, float]]
     """For each text the items it leaks."""
     for a, b, data, off in _text.blocks(column):
         t = Template(data, off)
+        exact = index.exact_hits(t)
         known = np.flatnonzero(_among(t.windows, index.keys) & t.telling) if len(index.keys) else np.zeros(0, np.int64)
         for i in range(b - a):
             s, e = int(t.first[i]), int(t.first[i + 1])
             # a window must not run into the next row
             hits = known[np.searchsorted(known, s) : np.searchsorted(known, max(s, e - WINDOW + 1))]
-            yield index.leaks(t, s, e, hits) if len(hits) or index.short else []
+            own = any(np.searchsorted(at, s) < np.searchsorted(at, e) for at, _ in exact.values())
+            yield index.leaks(t, s, e, hits, exact) if len(hits) or own or index.short else []
 
 
 def _find(batches: Iterator[pa.RecordBatch], shared, id_type) -> Iterator[pa.RecordBatch]:

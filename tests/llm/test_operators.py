@@ -149,6 +149,17 @@ def test_inconsistent_slots_do_not_match():
     assert got[0] == [] and [x[0] for x in got[1]] == [1]
 
 
+def test_exact_copies_of_any_item():
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200))
+    items = ["12 + 7 * 3 - 4 = 29, 5 * 6 / 2 = 15", "Anna Berg, Carl Dahl, Eva Falk, Gustav Holm, Ida Juhl", "Mount Everest", "42 + 17", long]
+    index = decontaminate.Index(list(range(5)), items)
+    texts = [f"some words {x} and more" for x in items[:4]] + ["x " + " ".join(long.split()[40:130]) + " y", "x " + " ".join(long.split()[40:85]) + " y"]
+    texts += ["12 + 7 * 3 - 4 = 30, 5 * 6 / 3 = 10", "Mount", "Everest Mount 17 42", None]
+    got = [[x[0] for x in found] for found in decontaminate.leaks_of(pa.array(texts), index)]
+    assert got == [[0], [1], [2], [3], [4], [], [], [], [], []]
+
+
 # language
 
 
