@@ -58,14 +58,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
-        """Write and reread; rows: how many rows at most go to Python at once, where they are long."""
+    def keep(self, name: str, df: DataFrame, rows: int | None = None, by: str | None = None) -> DataFrame:
+        """Write and reread; rows: how many rows at most go to Python at once, where they are long; by: a column that parts the files."""
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         usual = self.spark.conf.get(key)
         if rows:
             self.spark.conf.set(key, str(rows))
         try:
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").parquet(self.path(name), partitionBy=by)
         finally:
             self.spark.conf.set(key, usual)
         return self.spark.read.schema(df.schema).parquet(self.path(name))

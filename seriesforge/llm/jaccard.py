@@ -2,14 +2,17 @@
 
 1. Each text becomes its set of distinct w-word shingles (64-bit hashes).  Texts
    with one set form a node; copies are never expanded.
-2. Tokens are ordered rare first, then frequent ones, each by hash.  Frequent
-   tokens are those that recur within the tasks that read the table, the
-   ``MAX_FREQUENT`` most frequent at most; the choice sets the order only, any
-   choice gives the same links.
-3. A set's prefix is the shortest for which two linked sets must share a
-   signature: a rare token is one by itself; frequent tokens fall into
-   subclasses, of which pairs are signatures, so the prefix is extended by one
-   token for each subclass.  Sizes within the threshold share a subclassing.
+2. A set of which more than a quarter stands in no other set has no link.  This is
+   tested first on the tokens whose hash is below a bound (``RATE`` of all; all
+   tokens of sets below ``WHOLE``): a linked set may miss as many tokens there as
+   anywhere.  The tokens go by blocks of many sets to the part that counts them,
+   which sends back how many tokens of each set are shared.
+3. For the sets that are left the number of sets that hold each token is counted
+   exactly.  Tokens of a set are ordered by it, rare ones first, and the prefix is the
+   shortest for which two linked sets must share a signature: a token that up to
+   ``RARE`` sets hold is one by itself; frequent tokens fall into subclasses, of
+   which pairs are signatures, so the prefix is extended by one token for each
+   subclass.  Sizes within the threshold share a subclassing.
 4. Nodes that share a signature are candidates.  A signature of up to ``SMALL``
    nodes gives its pairs.  In a larger one the nodes are compared with
    ``PIVOTS`` pivots; nodes that then are in one component need no more
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +43,18 @@ from seriesforge.llm import _text
 from seriesforge.llm._spark import Scratch, ship_package
 from seriesforge.llm.components import connected_components
 
-#: Bound of the broadcast list of frequent tokens (8 bytes each).
-MAX_FREQUENT = 1 << 18
+#: Share of a set's tokens, by hash, that the first test looks at, and the size below which it looks at all.
+RATE, WHOLE = 0.35, 64
+#: Sets that hold a token up to which it is a signature by itself.
+RARE = 16
+#: Tokens of a block of sets in the first and in the second count.
+BLOCK_TOKENS, SET_TOKENS = 1_500_000, 300_000
+#: Characters of texts for one part of the first count, and tokens for one of the second.
+PART_CHARS, PART_TOKENS = 16_000_000, 1_000_000
 #: Texts, and pairs of whole sets, that go to Python at once.
 TEXTS, PAIRS = 1000, 200
-#: Node ids (8 bytes each) up to which they are broadcast.
+#: Document and node ids (8 bytes each) up to which they are broadcast.
 MAX_BROADCAST = 1 << 20
-#: Recurrences within tasks from which a token counts as frequent.
-FREQUENT = 6
 #: Nodes of a signature up to which its pairs are taken directly.
 SMALL = 12
 #: Pivots of a larger signature.
@@ -55,8 +63,7 @@ PIVOTS = 5
 ROUNDS = 1
 #: Nodes on either side that are compared in one task.
 BLOCK = 1024
-#: Tokens held by a task before they are counted.
-_HELD = 2_000_000
+_NO_SET = 0xFFFF
 
 
 def node_of(s: np.ndarray) -> int:
@@ -68,22 +75,20 @@ def _allowed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75) -> np.ndarray:
-    """Signatures of a sorted set: two linked sets share one at least."""
+def signatures(s: np.ndarray, held: np.ndarray, percent: int = 75, rare: int = RARE) -> np.ndarray:
+    """Signatures of a set, of whose tokens so many sets hold each: two linked sets share one at least."""
     n = len(s)
-    if not n:
-        return s
-    need = _allowed(n, percent) + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        common = frequent[at] == s
-        rare = s[~common]
-    else:
-        rare = s
-    if len(rare) >= need:
-        return rare[:need]
-    often, need, out = s[common], need - len(rare), [rare]
+    order = np.lexsort((s, held))
+    # tokens of no other set come first and are no signatures
+    alone = int((held == 1).sum())
+    need = _allowed(n, percent) + 1 - alone
+    if need <= 0:
+        return s[:0]
+    s, held = s[order][alone:], held[order][alone:]
+    few = int(np.searchsorted(held, rare, "right"))
+    if few >= need:
+        return s[:need]
+    often, need, out = s[few:], need - few, [s[:few]]
     # sets whose sizes are in the ratio `percent` are in one size class or in adjacent ones
     base = 100 / percent
     level = int(math.log(n) / math.log(base))
@@ -98,8 +103,8 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75) -> np.nda
         gain[np.unique(sub, return_index=True)[1]] = 0
         end = int(np.searchsorted(np.cumsum(gain), need)) + 1
         token, sub = often[:end], sub[:end]
-        order = np.argsort(sub, kind="stable")
-        token, sub = token[order], sub[order]
+        by = np.argsort(sub, kind="stable")
+        token, sub = token[by], sub[by]
         tag = np.uint64((scheme + 1) * 0xD6E8FEB86659FD93 % 2**64)
         for gap in range(1, end):
             same = sub[gap:] == sub[:-gap]
@@ -110,112 +115,95 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75) -> np.nda
     return np.unique(np.concatenate(out))
 
 
-def _stats(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document's id, node and set size; kind 1: a token and how many nodes of this task have it, if several."""
-    held: list[np.ndarray] = []
-    size, seen = 0, set()
-
-    def counts():
-        if not held:
-            return None
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        token, n = token[n > 1], n[n > 1]
-        return pa.record_batch(
-            {"kind": np.ones(len(token), np.int8), "doc_id": pa.nulls(len(token), pa.int64()), "node": token.view(np.int64), "n": n.astype(np.int64)}
-        )
+def _limit(n: float) -> int:
+    """Hashes up to this one are looked at in sets of n tokens or more."""
+    return int(RATE * 2**64) if n >= WHOLE else 2**64 - 1
 
-    for batch in batches:
-        nodes, ns = [], []
-        for s in _text.shingle_sets(batch.column("text"), w):
-            node = node_of(s)
-            nodes.append(node)
-            ns.append(len(s))
-            if node not in seen:
-                seen.add(node)
-                held.append(s)
-                size += len(s)
-                if size >= _HELD:
-                    yield counts()
-                    held, size = [], 0
-        yield pa.record_batch(
-            {"kind": np.zeros(len(ns), np.int8), "doc_id": batch.column("doc_id").cast(pa.int64()), "node": np.array(nodes, np.int64), "n": np.array(ns, np.int64)}
-        )
-    if (last := counts()) is not None:
-        yield last
 
+def _parts(tokens: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of tokens by the part that counts them."""
+    part = ((tokens >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edge)).tolist():
+        yield p, order[edge[p] : edge[p + 1]]
 
-def _sign(batches: Iterator[pa.RecordBatch], w: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    often, seen = np.frombuffer(frequent.value, np.uint64), set()
-    for batch in batches:
-        sigs, nodes, ns = [], [], []
-        held = 0
-        for s in _text.shingle_sets(batch.column("text"), w):
-            node = node_of(s)
-            if node in seen or not len(s):
-                continue
-            seen.add(node)
-            sig = signatures(s, often, percent)
-            sigs.append(sig)
-            nodes.append(np.full(len(sig), node, np.int64))
-            ns.append(np.full(len(sig), len(s), np.int32))
-            held += len(sig)
-            if held > 200_000:
-                yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns)})
-                sigs, nodes, ns, held = [], [], [], 0
-        if sigs:
-            yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns)})
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature: those of signatures that several nodes have, and whether these are more than ``SMALL``.
-
-    A signature's rows are held until it is known to be large, then passed on at once; a node may come again there.
-    """
-    names = ("sig", "node", "n")
-    carry = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    streaming = None
-
-    def batch_of(rows, mask, large):
-        return pa.record_batch({**{c: x[mask] for c, x in zip(names, rows, strict=True)}, "large": large[mask]})
-
-    def settle(rows, last: bool):
-        """Distinct rows in order; what to pass on, and what to carry."""
-        nonlocal streaming
-        order = np.lexsort((rows[1], rows[0]))
-        rows = [x[order] for x in rows]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
-        rows = [x[fresh] for x in rows]
-        sig = rows[0]
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(sig) != 0]))
-        count = np.diff(np.append(begin, len(sig)))
-        large = np.repeat(count > SMALL, count)
-        keep = np.repeat(count > 1, count)
-        if streaming is not None:
-            old = sig == streaming
-            large |= old
-            keep |= old
-        rest = [x[:0] for x in rows]
-        if not last:
-            end = sig == sig[-1]
-            if large[-1]:
-                streaming = sig[-1]
-            else:
-                rest = [x[end] for x in rows]
-                keep &= ~end
-        return batch_of(rows, keep, large), rest
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [np.concatenate([c, batch.column(k).to_numpy()]) for c, k in zip(carry, names, strict=True)]
-        out, carry = settle(rows, False)
-        yield out
-    if len(carry[0]):
-        yield settle(carry, True)[0]
+_MARK_SCHEMA = "kind int, doc_id long, node long, n int, block long, idx int, spare int, part int, tokens binary, owner binary"
+_MARKS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("spare", pa.int32()), ("part", pa.int32()), ("tokens", pa.binary()), ("owner", pa.binary())])
 
 
-def bitmap(s: np.ndarray, width: int = 2) -> bytes:
+def _marks(batches: Iterator[pa.RecordBatch], w: int, percent: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0: a document with its node; at a node's first place in a task also its number in its block, and how many
+    tokens that other blocks hold it lacks for a link.  Kind 1: tokens of a block for one part, and the set of each, if one only.
+    """
+    task, blocks, seen = TaskContext.get().partitionId(), 0, set()
+    docs: list[tuple] = []
+    tokens: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    spares: list[int] = []
+    held = 0
+
+    def rows(of: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*of, strict=True), _MARKS.types, strict=True)], schema=_MARKS)
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        nonlocal docs, tokens, owners, spares, held, blocks
+        if not docs:
+            return
+        block = task << 32 | blocks
+        own = np.zeros(len(spares), np.int64)
+        if tokens:
+            t, o = np.concatenate(tokens), np.concatenate(owners)
+            order = np.argsort(t, kind="stable")
+            t, o = t[order], o[order]
+            twice = t[1:] == t[:-1]
+            shared = np.concatenate([[False], twice]) | np.concatenate([twice, [False]])
+            own = np.bincount(o[shared & (o != _NO_SET)], minlength=len(spares))
+            o[shared] = _NO_SET
+            first = np.concatenate([[True], ~twice])
+            t, o = t[first], o[first]
+            for p, at in _parts(t, parts):
+                yield rows([(1, None, None, None, block, None, None, p, t[at].tobytes(), o[at].tobytes())])
+        yield rows([(0, d, node, n, block if i is not None else None, i, None if i is None else spares[i] - int(own[i]), None, None, None) for d, node, n, i in docs])
+        docs, tokens, owners, spares, held, blocks = [], [], [], [], 0, blocks + 1
+
+    for batch in batches:
+        for d, s in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), _text.shingle_sets(batch.column("text"), w), strict=True):
+            node, n, at = node_of(s), len(s), None
+            if n and d is not None and node not in seen:
+                seen.add(node)
+                at = len(spares)
+                sent = s[: np.searchsorted(s, np.uint64(_limit(n * percent / 100)), "right")]
+                tested = int(np.searchsorted(sent, np.uint64(_limit(n)), "right"))
+                tokens.append(sent)
+                owner = np.full(len(sent), _NO_SET, np.uint16)
+                owner[:tested] = at
+                owners.append(owner)
+                spares.append(tested - _allowed(n, percent))
+                held += len(sent)
+            docs.append((d, node, n, at))
+            if held >= BLOCK_TOKENS or len(spares) >= _NO_SET - 1 or len(docs) >= 1 << 17:
+                yield from settled()
+    yield from settled()
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """Of one part's tokens: how many of each set other blocks hold too."""
+    blocks = group.column("block").to_numpy()
+    tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens")]
+    block = np.repeat(blocks, [len(t) for t in tokens])
+    owner = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in group.column("owner")])
+    t = np.concatenate(tokens)
+    order = np.argsort(t, kind="stable")
+    twice = np.diff(t[order]) == 0
+    at = order[np.concatenate([[False], twice]) | np.concatenate([twice, [False]])]
+    at = at[owner[at] != _NO_SET]
+    pair, n = np.unique(np.stack([block[at], owner[at].astype(np.int64)]), axis=1, return_counts=True)
+    return pa.table({"block": pair[0], "idx": pair[1].astype(np.int32), "shared": n})
+
+
+def bitmap(s: np.ndarray, width: int = 8) -> bytes:
     """A bitmap of a set, of width times as many bits as it has tokens or more, a power of two."""
     bits = max(64, 1 << (width * len(s) - 1).bit_length())
     flags = np.zeros(bits, np.uint8)
@@ -233,28 +221,77 @@ def bitmap_differs(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _sets(batches: Iterator[pa.RecordBatch], w: int) -> Iterator[pa.RecordBatch]:
+_SET_SCHEMA = "kind int, block long, node long, n int, bits binary, part int, tokens binary, counts binary"
+_SETS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], w: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Kind 0: a wanted node's set, by blocks; kind 1: distinct tokens of a block for one part, and how many of its sets hold each."""
+    task, blocks, seen = TaskContext.get().partitionId(), 0, set()
+    found: list[tuple] = []
+    held: list[np.ndarray] = []
+    size = 0
+
+    def rows(of: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*of, strict=True), _SETS.types, strict=True)], schema=_SETS)
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        nonlocal found, held, size, blocks
+        if found:
+            block = task << 32 | blocks
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            yield rows([(0, block, node, k, bits, None, s, None) for node, k, bits, s in found])
+            for p, at in _parts(t, parts):
+                yield rows([(1, block, None, None, None, p, t[at].tobytes(), n[at].astype(np.uint32).tobytes())])
+            found, held, size, blocks = [], [], 0, blocks + 1
+
     for batch in batches:
-        nodes, ns, bits, wide, raw, held = [], [], [], [], [], 0
         for want, s in zip(batch.column("node").to_pylist(), _text.shingle_sets(batch.column("text"), w), strict=True):
-            if node_of(s) != want:
+            if want in seen or node_of(s) != want:
                 continue
-            nodes.append(want)
-            ns.append(len(s))
-            bits.append(bitmap(s))
-            wide.append(bitmap(s, 8))
-            raw.append(s.tobytes())
-            held += len(s)
-            if held > 1_000_000:
-                yield _set_batch(nodes, ns, bits, wide, raw)
-                nodes, ns, bits, wide, raw, held = [], [], [], [], [], 0
-        yield _set_batch(nodes, ns, bits, wide, raw)
-
-
-def _set_batch(nodes, ns, bits, wide, raw) -> pa.RecordBatch:
-    return pa.record_batch(
-        {"node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "bits": pa.array(bits, pa.binary()), "wide": pa.array(wide, pa.binary()), "tokens": pa.array(raw, pa.binary())}
-    )
+            seen.add(want)
+            found.append((want, len(s), bitmap(s), s.tobytes()))
+            held.append(s)
+            size += len(s)
+            if size >= SET_TOKENS:
+                yield from settled()
+    yield from settled()
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """Of one part's tokens: those that several sets hold, by block, and how many."""
+    blocks = group.column("block").to_pylist()
+    tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens")]
+    t = np.concatenate(tokens)
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("counts")])
+    _, at = np.unique(t, return_inverse=True)
+    total = np.bincount(at, n).astype(np.uint32)[at]
+    out_t, out_n, first = [], [], 0
+    for x in tokens:
+        each = total[first : first + len(x)]
+        several = each > 1
+        out_t.append(x[several].tobytes())
+        out_n.append(each[several].tobytes())
+        first += len(x)
+    return pa.table({"block": pa.array(blocks, pa.int64()), "tokens": pa.array(out_t, pa.binary()), "counts": pa.array(out_n, pa.binary())})
+
+
+def _signed(sets: pa.Table, counts: pa.Table, percent: int) -> pa.Table:
+    """Signatures of the sets of one block."""
+    none = np.zeros(0, np.uint64)
+    t = np.concatenate([none, *(np.frombuffer(x.as_buffer(), np.uint64) for x in counts.column("tokens"))])
+    n = np.concatenate([none.astype(np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x in counts.column("counts"))])
+    order = np.argsort(t)
+    t, n = np.append(t[order], np.uint64(2**64 - 1)), np.append(n[order], 1).astype(np.int64)
+    sigs, nodes, sizes = [none], [none.astype(np.int64)], [none.astype(np.int32)]
+    for node, x in zip(sets.column("node").to_pylist(), sets.column("tokens"), strict=True):
+        s = np.frombuffer(x.as_buffer(), np.uint64)
+        at = np.searchsorted(t, s)
+        sig = signatures(s, np.where(t[at] == s, n[at], 1), percent)
+        sigs.append(sig)
+        nodes.append(np.full(len(sig), node, np.int64))
+        sizes.append(np.full(len(sig), len(s), np.int32))
+    return pa.table({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -280,38 +317,37 @@ def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shingle_nodes(scratch: Scratch, docs: DataFrame, w: int) -> tuple[DataFrame, bytes]:
-    """Documents with node and set size, and the sorted frequent tokens."""
-    stats = scratch.keep(
-        "stats",
-        docs.select("doc_id", "text").mapInArrow(lambda it: _stats(it, w), "kind byte, doc_id long, node long, n long"),
-        TEXTS,
-    )
-    top = (
-        stats.where("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT)
-        .orderBy(F.desc("c"), "node").limit(MAX_FREQUENT).select("node").toArrow()
-    )
-    frequent = np.sort(top.column("node").to_numpy().astype(np.int64).view(np.uint64)).tobytes()
-    return stats.where("kind = 0").select("doc_id", "node", "n"), frequent
-
-
 def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with nodes, and ``(node, root)`` of the nodes that have links."""
-    nodes, frequent = shingle_nodes(scratch, docs, w)
-    shared = spark.sparkContext.broadcast(frequent)
-    rows = docs.select("doc_id", "text").mapInArrow(lambda it: _sign(it, w, percent, shared), "sig long, node long, n int")
-    held = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long, n int, large boolean")
-    held = scratch.keep("held", held)
-
-    scratch.release()
-    wanted = nodes.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.keep(
-        "sets",
-        docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, w), "node long, n long, bits binary, wide binary, tokens binary"),
-        TEXTS,
-    )
-
-    scratch.release()
+    """Documents with nodes and set sizes, and ``(node, root)`` of the nodes that have links."""
+    docs = docs.select("doc_id", "text")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    # several parts for each task of a shuffle: they are dealt by hash
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(chars / PART_CHARS))
+    marks = scratch.keep("marks", docs.mapInArrow(lambda it: _marks(it, w, percent, parts), _MARK_SCHEMA), TEXTS, by="kind")
+    nodes = marks.where("kind = 0").select("doc_id", "node", "n")
+    shared = marks.where("kind = 1").select("part", "block", "tokens", "owner").groupBy("part").applyInArrow(_shared, "block long, idx int, shared long")
+    shared = shared.groupBy("block", "idx").agg(F.sum("shared").alias("shared"))
+    first = marks.where("kind = 0 and idx is not null").select("doc_id", "node", "n", "block", "idx", "spare")
+    left = first.join(shared, ["block", "idx"], "left").where("spare <= coalesce(shared, 0)")
+    wanted = scratch.keep("wanted", left.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    scratch.drop("marks/kind=1")
+
+    size = wanted.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
+    parts = max(least, math.ceil((size["tokens"] or 0) / PART_TOKENS))
+    some = wanted.select("doc_id", "node")
+    texts = docs.join(F.broadcast(some) if size["rows"] <= MAX_BROADCAST else some, "doc_id")
+    kept = scratch.keep("sets", texts.mapInArrow(lambda it: _sets(it, w, parts), _SET_SCHEMA), TEXTS, by="kind")
+    sets = kept.where("kind = 0").select("block", "node", "n", "bits", "tokens")
+    if sets.count() > size["rows"]:  # rows that several tasks have
+        sets = scratch.keep("once", sets.dropDuplicates(["node"]))
+    counts = kept.where("kind = 1").select("part", "block", "tokens", "counts").groupBy("part").applyInArrow(_counted, "block long, tokens binary, counts binary")
+    signed = sets.select("block", "node", "tokens").groupBy("block").cogroup(counts.groupBy("block"))
+    signed = scratch.keep("signed", signed.applyInArrow(lambda x, y: _signed(x, y, percent), "sig long, node long, n int").distinct())
+    scratch.drop("sets/kind=1")
+    several = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+    held = scratch.keep("held", signed.join(several, "sig").withColumn("large", F.col("c") > SMALL).drop("c"))
+    scratch.drop("signed", "wanted")
 
     def verified(name: str, pairs: DataFrame, bounded: bool = False) -> DataFrame:
         """Links among pairs ``(a < b, na, nb)``: sizes, then bitmaps (unless bounded by them already), then whole sets are compared."""
@@ -323,15 +359,10 @@ def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int,
             .mapInArrow(lambda it: _bounded(it, percent), "a long, b long, na int, nb int")
         )
         near = scratch.keep(f"near-{name}", near)
-        scratch.release()
         # whole sets are moved for the nodes of these pairs only
         ids = scratch.keep(f"ids-{name}", near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         some = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-        whole = scratch.keep(f"whole-{name}", sets.select("node", "tokens").join(some, "node", "left_semi"))
-        if bounded:
-            # the last comparison: nothing below reads these again
-            scratch.drop("sets", "held", "still", "each", f"rooted{ROUNDS}", f"parted{ROUNDS}")
-            scratch.release()
+        whole = sets.select("node", "tokens").join(some, "node", "left_semi")
         out = scratch.keep(
             f"links-{name}",
             near.join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -341,14 +372,13 @@ def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int,
             .select(F.col("a").alias("u"), F.col("b").alias("v")),
             PAIRS,
         )
-        scratch.drop(f"near-{name}", f"ids-{name}", f"whole-{name}")
+        scratch.drop(f"near-{name}", f"ids-{name}")
         return out
 
     few, many = held.where("not large").drop("large"), held.where("large").drop("large")
     pivots = _pivots(many, 0)
     links = verified("first", _paired(few, few, ordered=True).unionByName(_paired(pivots, many)))
     roots = connected_components(Scratch(spark, "jaccard-cc"), links)
-    scratch.release()
 
     for i in range(ROUNDS + 1):
         rooted = scratch.keep(f"rooted{i}", many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -365,15 +395,15 @@ def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int,
         met = verified(f"round{i}", _paired(chosen, both.where("root <> main").select("sig", "node", "n")))
         scratch.drop(f"rooted{i}", f"main{i}", f"parted{i}")
         roots = connected_components(Scratch(spark, "jaccard-cc"), roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(met))
-        scratch.release()
-    # nodes that large signatures connect form a group: what shares a signature is in one
-    star = many.join(many.groupBy("sig").agg(F.min("node").alias("low")), "sig").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    # nodes that a large signature of several components connects form a group: what shares one is in one
+    open_ = rooted.join(main.select("sig"), "sig")
+    star = open_.join(open_.groupBy("sig").agg(F.min("node").alias("low")), "sig").select(F.col("node").alias("u"), F.col("low").alias("v"))
     group = connected_components(Scratch(spark, "jaccard-cc"), star).select("node", F.col("root").alias("group"))
-    each = rooted.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    each = open_.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
     each = scratch.keep("each", each.join(group, "node"))
     per = each.groupBy("group", "root").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("largest"))
     per = scratch.keep("groups", per.where("size > largest").select("group", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int").alias("parts")))
-    still = scratch.keep("still", each.join(per, "group").join(sets.select("node", F.col("wide").alias("bits")), "node"))
+    still = scratch.keep("still", each.join(per, "group").join(sets.select("node", "bits"), "node"))
     blocks, parts = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "parts"))
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     columns = ["group", "part", "block", "node", "n", "root", "bits"]
@@ -453,8 +483,7 @@ def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75) -> DataFrame
     rooted = scratch.keep("rep", rep.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     low = scratch.keep("low", rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = scratch.keep("named", rooted.join(low, "root").select("node", "component_id"))
-    scratch.drop("held", "sets", f"rooted{ROUNDS}", "still", "each", "groups", f"main{ROUNDS}", f"parted{ROUNDS}")
-    scratch.release()
+    scratch.drop("held", "sets", "once", f"rooted{ROUNDS}", "still", "each", "groups", f"main{ROUNDS}", "rep", "low")
     return nodes.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -438,7 +438,9 @@ def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(6)
     pool = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
     for share in (0.0, 0.3, 0.9, 1.0):
-        frequent = np.sort(rng.choice(pool, int(share * len(pool)), replace=False))
+        # how many sets hold each token: some are in two, others in many
+        held = np.where(rng.random(len(pool)) < share, rng.integers(17, 400, len(pool)), rng.integers(2, 9, len(pool)))
+        count = lambda s: held[np.searchsorted(pool, s)]
         for _ in range(300):
             n = int(rng.integers(1, 250))
             x = np.sort(rng.choice(pool, n, replace=False))
@@ -446,23 +448,29 @@ def test_linked_sets_share_a_signature():
             y = np.unique(np.concatenate([rng.choice(x, n - k, replace=False), rng.choice(pool, int(rng.integers(0, k + 1)))]))
             c = len(np.intersect1d(x, y))
             if 100 * c >= 75 * (len(x) + len(y) - c):
-                assert len(np.intersect1d(jaccard.signatures(x, frequent), jaccard.signatures(y, frequent)))
+                assert len(np.intersect1d(jaccard.signatures(x, count(x)), jaccard.signatures(y, count(y))))
             assert jaccard.bitmap_differs(jaccard.bitmap(x), jaccard.bitmap(y)) <= len(x) + len(y) - 2 * c
 
 
-def test_shared_rows_across_batches():
+def test_counts_of_blocks():
     rng = np.random.default_rng(8)
-    sig = np.sort(np.concatenate([rng.integers(0, 300, 900), np.full(400, 150)]))
-    node = np.where(sig == 150, rng.integers(0, 200, len(sig)), rng.integers(0, 6, len(sig)))
-    batches = [pa.record_batch({"sig": sig[i : i + 37], "node": node[i : i + 37], "n": np.ones(len(sig[i : i + 37]), np.int32)}) for i in range(0, len(sig), 37)]
-    got = defaultdict(set)
-    for b in jaccard._shared(iter(batches)):
-        for s, v, large in zip(*(b.column(c).to_pylist() for c in ("sig", "node", "large")), strict=True):
-            got[s].add((v, large))
-    want = defaultdict(set)
-    for s, v in zip(sig.tolist(), node.tolist(), strict=True):
-        want[s].add(v)
-    assert {s: {(v, len(x) > jaccard.SMALL) for v in x} for s, x in want.items() if len(x) > 1} == got
+    tokens = [np.unique(rng.integers(0, 400, 150)).astype(np.uint64) for _ in range(9)]
+    owners = [np.where(rng.random(len(t)) < 0.2, jaccard._NO_SET, rng.integers(0, 4, len(t))).astype(np.uint16) for t in tokens]
+    group = pa.table({"block": list(range(9)), "tokens": [t.tobytes() for t in tokens], "owner": [o.tobytes() for o in owners]}, pa.schema([("block", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary())]))
+    want = defaultdict(int)
+    for b, (t, o) in enumerate(zip(tokens, owners, strict=True)):
+        for x, i in zip(t.tolist(), o.tolist(), strict=True):
+            if i != jaccard._NO_SET and any(x in other for k, other in enumerate(tokens) if k != b):
+                want[b, i] += 1
+    assert {(r["block"], r["idx"]): r["shared"] for r in jaccard._shared(group).to_pylist()} == want
+    counts = [rng.integers(1, 3, len(t)).astype(np.uint32) for t in tokens]
+    out = jaccard._counted(group.drop(["owner"]).append_column("counts", pa.array([n.tobytes() for n in counts], pa.binary()))).to_pylist()
+    total = defaultdict(int)
+    for t, n in zip(tokens, counts, strict=True):
+        for x, k in zip(t.tolist(), n.tolist(), strict=True):
+            total[x] += k
+    for t, r in zip(tokens, out, strict=True):
+        assert dict(zip(np.frombuffer(r["tokens"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist(), strict=True)) == {x: total[x] for x in t.tolist() if total[x] > 1}
 
 
 def test_pipeline(spark):
