@@ -26,6 +26,7 @@ _SEP[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
 
 
 def trim() -> None:
@@ -48,6 +49,16 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """The first n powers of the inverse of the hash base, mod 2**64."""
+    global _inverse
+    if len(_inverse) < n:
+        p = np.full(max(256, 1 << int(n - 1).bit_length()), pow(int(_BASE), -1, 1 << 64), np.uint64)
+        p[0] = 1
+        _inverse = np.multiply.accumulate(p)
+    return _inverse
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))

@@ -1,18 +1,27 @@
-"""Line deduplication by a log-template tree of fixed depth.
-
-A line falls into a leaf by its token count and its ``LEADING`` first tokens;
-tokens that hold a digit are variable wherever they stand.  Inside a leaf a line
-has one template of all its tokens and, from ``GENERAL_FROM`` tokens on, one for
-each of ``FIELDS`` equal stretches of the tokens after the leading ones, in which
-that stretch is a variable field.  A template found in ``MIN_DOCS`` documents or
-more recurs: its lines are dropped from all of them but the one of smallest
-doc_id.  Templates are 64-bit hashes, so finding those that recur is one grouped
-count over the whole corpus; no leaf is gathered anywhere.
-
-Passages are runs of ``PASSAGE`` tokens, wherever lines end.  Each run has an anchor,
-the least hash of the ``ANCHOR``-token runs in it, so equal runs have equal anchors.  Only
-runs whose anchor is in two documents or more are hashed whole and counted; a run
-stays in the document of smallest doc_id, the others lose the tokens it covers.
+"""Line deduplication by a log-template tree of fixed depth, and of passages.
+
+A line falls into a leaf of the tree by its token count and its ``LEADING`` first
+tokens; tokens that hold a digit are variable wherever they stand.  A line that
+recurs as it is, digits apart, in ``MIN_DOCS`` documents is a template.  The other
+lines of a leaf are generalised: a token is literal where so many documents of the
+leaf have it at that place, else the place is a variable field, and lines of equal
+literals are one template.  A generalised template needs ``LITERALS`` literal
+tokens and ``LITERAL_SHARE`` of all; a line of too few literals beside its digits
+is matched as it is, digits included.  So every line has one template.  Where
+``MIN_DOCS`` documents or more have a template, the one of smallest doc_id
+keeps its lines and the others lose theirs.  All of this is grouped counts over
+hashes; no leaf is gathered anywhere, and tokens are looked at in leaves that may
+have a template only.
+
+Passages are runs of ``PASSAGE`` tokens, wherever lines end; one that two documents
+have stays in that of smallest doc_id.  Each run holds an anchor, the
+``ANCHOR``-token run of least hash in it, so equal runs have equal anchors.  Of
+anchors in several documents the tokens around them as far as any such run can
+reach are compared by hash; where these agree as a whole, one document stands for
+all.  Only what differs around an anchor is compared run by run.
+
+Both are decided on the texts as they are given.  What goes from a document stands
+in a document of smaller doc_id, so by induction in one that keeps it.
 """
 
 from __future__ import annotations
@@ -28,208 +37,342 @@ from seriesforge.llm import _text
 from seriesforge.llm._spark import Scratch, ship_package
 
 MIN_DOCS = 3
-#: Lines of fewer tokens say too little to be taken as templates.
-MIN_TOKENS = 3
 LEADING = 3
-FIELDS = 4
-GENERAL_FROM = 8
+#: Literal tokens of a generalised template, and their least share; lines below ``OWN_LITERALS`` keep their digits.
+LITERALS, LITERAL_SHARE, OWN_LITERALS = 5, 0.7, 2
 #: Tokens of a passage, which recurs from two documents on, and of an anchor.
 PASSAGE = 50
 ANCHOR = 16
+#: Ids and anchors (8 bytes each) up to which they are broadcast.
+MAX_BROADCAST = 1 << 20
+#: Texts that go to Python at once.
+TEXTS = 500
+_REACH = PASSAGE - ANCHOR
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
+_WORDLY = (~_text.NOT_ALNUM).astype(np.int64)
 _VARIABLE = np.uint64(0x6A09E667F3BCC909)
 
 
-def line_templates(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row: how many tokens each of its lines has, templates (one row for each line; 0 where none applies), and line bounds in bytes."""
-    for a, b, data, off in _text.blocks(column):
-        starts, ends, h, _ = _text.words(data, off, lower=False)
+class Lines:
+    """Lines of consecutive rows: tokens, where lines begin, leaf and template hashes."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.starts, self.ends, h, self.first = _text.words(data, off, lower=False)
+        rows = len(off) - 1
         breaks = np.flatnonzero(data == 10) + 1
-        row_of_break = np.searchsorted(off, breaks - 1, "right") - 1
         # each row's start opens a line, also that of an empty row
         begin = np.concatenate([off[:-1], breaks])
-        owner = np.concatenate([np.arange(b - a), row_of_break])
+        owner = np.concatenate([np.arange(rows), np.searchsorted(off, breaks - 1, "right") - 1])
         order = np.lexsort((begin, owner))
-        begin, owner = begin[order], owner[order]
-        # words of a line: those from its begin to the next line's
-        first = np.searchsorted(starts, begin)
-        n = np.append(first[1:], len(starts)) - first
-        out = np.zeros((len(begin), 1 + FIELDS), np.uint64)
-        if len(starts):
-            digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-            h = np.where(digits[ends] > digits[starts], _VARIABLE, h)
-            place = np.arange(len(starts)) - np.repeat(first, n)
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _text.powers(int(n.max()) + 2)[place + 1])])
-            whole = run[first + n] - run[first]
-            size = n.astype(np.uint64)
-            some = n >= MIN_TOKENS
-            out[some, 0] = _text.mix(whole[some] + size[some])
-            long = n >= GENERAL_FROM
-            rest = n[long] - LEADING
-            for f in range(FIELDS):
-                s = first[long] + LEADING + rest * f // FIELDS
-                e = first[long] + LEADING + rest * (f + 1) // FIELDS
-                out[long, 1 + f] = _text.mix(whole[long] - (run[e] - run[s]) + size[long] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(f + 1))
-        cut = np.searchsorted(owner, np.arange(b - a + 1))
-        for i in range(b - a):
-            s, e = cut[i], cut[i + 1]
-            yield n[s:e], out[s:e], begin[s:e] - off[i]
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, tpls = [], []
-        for i, (_, t, _) in zip(batch.column("doc_id").to_pylist(), line_templates(batch.column("text")), strict=True):
-            u = np.unique(t)
-            u = u[u != 0]
-            ids.append(np.full(len(u), i, np.int64))
-            tpls.append(u)
-        if ids:
-            yield pa.record_batch({"doc_id": np.concatenate(ids), "tpl": np.concatenate(tpls).view(np.int64)})
-
-
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(first, 500) for whole in batches for first in range(0, whole.num_rows, 500)):
-        texts, dropped, total = [], [], []
-        for t, drop, (_, tpl, begin) in zip(batch.column("text"), batch.column("drop"), line_templates(batch.column("text")), strict=True):
-            text = t.as_py()
-            total.append(0 if text is None else len(begin))
-            if text is None or not drop.is_valid:
-                texts.append(text)
-                dropped.append(0)
-                continue
-            gone = np.isin(tpl, drop.values.to_numpy().view(np.uint64)).any(1)
-            kept = [line for line, g in zip(text.split("\n"), gone.tolist(), strict=True) if not g]
-            texts.append("\n".join(kept))
-            dropped.append(int(gone.sum()))
-        names = [n for n in batch.schema.names if n not in ("text", "drop")]
-        yield pa.RecordBatch.from_arrays(
-            [*map(batch.column, names), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "text", "n_lines", "n_dropped"]
-        )
+        self.begin, self.row = begin[order], owner[order]
+        self.cut = np.searchsorted(self.row, np.arange(rows + 1))
+        # tokens of a line: those from its begin to the next line's
+        self.token = np.searchsorted(self.starts, self.begin)
+        self.n = np.append(self.token[1:], len(self.starts)) - self.token
+        self.leaf = np.zeros(len(self.begin), np.uint64)
+        self.line = np.zeros(len(self.begin), np.uint64)
+        self.masked = h
+        if not len(h):
+            return
+        count = lambda of: np.concatenate([[0], np.cumsum(of[data])])
+        digits, alnum = count(_DIGIT), count(_WORDLY)
+        digit = digits[self.ends] > digits[self.starts]
+        self.masked = np.where(digit, _VARIABLE, h)
+        plain = np.concatenate([[0], np.cumsum(~digit)])
+        literal = plain[self.token + self.n] - plain[self.token]
+        place = np.arange(len(h)) - np.repeat(self.token, self.n)
+        power = _text.powers(int(self.n.max()) + 2)[place + 1]
+        size = self.n.astype(np.uint64)
 
+        def whole(v):
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power)])
+            return _text.mix(run[self.token + self.n] - run[self.token] + size)
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows of ``docs(doc_id, text, ...)`` without the lines whose template recurs; n_lines and n_dropped are added.
+        few = literal < OWN_LITERALS
+        self.line = np.where(few, whole(h), whole(self.masked))
+        # a line without a letter or digit says nothing
+        end = np.where(self.n > 0, self.ends[np.minimum(self.token + self.n, len(h)) - 1], 0)
+        said = (self.n > 0) & (alnum[end] > alnum[np.minimum(self.begin, len(data))])
+        self.line[~said] = 0
+        grows = said & ~few & (self.n > LEADING) & (literal >= LITERALS)
+        lead = size[grows]
+        for k in range(LEADING):
+            lead = lead + self.masked[self.token[grows] + k] * _text.powers(LEADING + 2)[k + 1]
+        self.leaf[grows] = _text.mix(lead) | np.uint64(1)
 
-    Lines end with a line feed.  A null text stays null; a row with a null
-    doc_id is kept as it is and not counted; repeated rows of one doc_id count as one
-    document and are treated alike; columns named n_lines or n_dropped are
-    replaced.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    scratch = Scratch(spark, "lines")
-    docs = docs.drop("n_lines", "n_dropped", "drop")
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_emit, "doc_id long, tpl long")
-    rows = scratch.keep("rows", rows)
-    counted = rows.groupBy("tpl").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("owner"))
-    recurring = scratch.keep("recurring", counted.where(F.col("docs") >= min_docs).select("tpl", "owner"))
-    drops = rows.join(recurring, "tpl").where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("tpl").alias("drop"))
-    drops = scratch.keep("drops", drops)
-    scratch.drop("rows", "recurring")
-    joined = docs.join(drops, "doc_id", "left")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "drop"))
-    return joined.mapInArrow(_rewrite, f"{kept}, text string, n_lines long, n_dropped long")
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for first in range(0, whole.num_rows, TEXTS):
+            yield whole.slice(first, TEXTS)
 
 
-def _least(g: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w consecutive values."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct lines; leaf null: nothing to generalise."""
+    for batch in batches:
+        ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+        for a, _, data, off in _text.blocks(batch.column("text")):
+            x = Lines(data, off)
+            at = np.flatnonzero(x.line)
+            at = at[np.lexsort((x.line[at], x.row[at]))]
+            at = at[(np.diff(x.row[at], prepend=-1) != 0) | (np.diff(x.line[at].view(np.int64), prepend=0) != 0)]
+            yield pa.record_batch({
+                "doc_id": ids[a + x.row[at]], "key": keys[a + x.row[at]], "leaf": pa.array(x.leaf[at].view(np.int64), mask=x.leaf[at] == 0), "line": x.line[at].view(np.int64)
+            })
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of the wanted lines of each row."""
+    for batch in _slices(batches):
+        for a, b, data, off in _text.blocks(batch.column("text")):
+            x = Lines(data, off)
+            for i in range(b - a):
+                s, e = x.cut[i], x.cut[i + 1]
+                want = batch.column("lines")[a + i].values.to_numpy().view(np.uint64)
+                _, once = np.unique(x.line[s:e], return_index=True)
+                at = s + once[np.isin(x.line[s + once], want)]
+                yield pa.record_batch({
+                    "leaf": x.leaf[at].view(np.int64), "line": x.line[at].view(np.int64),
+                    "tokens": pa.array([x.masked[x.token[k] : x.token[k] + x.n[k]].view(np.int64) for k in at], pa.list_(pa.int64())),
+                })
+
+
+def _sliding(g: np.ndarray, w: int, of) -> np.ndarray:
+    """The least or greatest (``of``) of each w consecutive values."""
     m, k = g, 1
     while 2 * k <= w:
-        m = np.minimum(m[:-k], m[k:])
+        m = of(m[:-k], m[k:])
         k *= 2
-    return np.minimum(m[: len(g) - w + 1], m[w - k : len(g) - k + 1])
+    return of(m[: len(g) - w + 1], m[w - k : len(g) - k + 1])
+
+
+class Runs:
+    """Hashes of token runs of consecutive rows, by prefix sums."""
 
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.starts, self.ends, h, self.first = _text.words(data, off, lower=False)
+        n = len(h)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _text.powers(n + 1)[:n])])
+        self.row = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
 
-def _passages(column) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row: hash and anchor of each run of PASSAGE tokens, and where its tokens start and end in its bytes."""
-    for a, b, data, off in _text.blocks(column):
-        starts, ends, h, first = _text.words(data, off, lower=False)
-        runs = _text.windows(h, PASSAGE)
-        anchors = _least(_text.windows(h, ANCHOR), PASSAGE - ANCHOR + 1) if len(runs) else runs
-        for i in range(b - a):
-            s, e = int(first[i]), int(first[i + 1])
-            inside = slice(s, max(s, e - PASSAGE + 1))
-            yield runs[inside], anchors[inside], starts[s:e] - off[i], ends[s:e] - off[i]
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _text.mix((self.sums[b] - self.sums[a]) * _text.inverse_powers(len(self.sums))[a])
+
+    def every(self, w: int) -> np.ndarray:
+        n = len(self.sums) - w
+        at = np.arange(max(0, n))
+        return self.hashes(at, at + w)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of anchors, and their hashes."""
+        g = self.every(ANCHOR)
+        if len(self.sums) <= PASSAGE:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        least = _sliding(g, _REACH + 1, np.minimum)
+        # a run must not reach into the next row
+        inside = self.row[: len(least)] == self.row[PASSAGE - 1 :][: len(least)]
+        least = np.concatenate([np.zeros(_REACH, np.uint64), np.where(inside, least, 0), np.zeros(_REACH, np.uint64)])
+        at = np.flatnonzero((g == _sliding(least, _REACH + 1, np.maximum)) & (g > 0))
+        return at, g[at]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's anchors: where (by token), hash, and hash of the tokens around."""
     for batch in batches:
-        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, (_, anchors, _, _) in zip(batch.column("doc_id").to_pylist(), _passages(batch.column("text")), strict=True):
-            found.append(np.unique(anchors))
-            ids.append(np.full(len(found[-1]), i, np.int64))
-        yield pa.record_batch({"doc_id": np.concatenate(ids), "anchor": np.concatenate(found).view(np.int64)})
+        ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+        for a, _, data, off in _text.blocks(batch.column("text")):
+            x = Runs(data, off)
+            at, anchor = x.anchors()
+            row = x.row[at]
+            low, high = np.maximum(x.first[row], at - _REACH), np.minimum(x.first[row + 1], at + PASSAGE)
+            around = _text.mix(x.hashes(low, high) + ((at - low) << 8 | (high - at)).astype(np.uint64))
+            yield pa.record_batch({
+                "doc_id": ids[a + row], "key": keys[a + row], "place": (at - x.first[row]).astype(np.int32), "anchor": anchor.view(np.int64), "around": around.view(np.int64)
+            })
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(first, 500) for whole in batches for first in range(0, whole.num_rows, 500)):
-        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, known, (runs, anchors, _, _) in zip(batch.column("doc_id").to_pylist(), batch.column("anchors"), _passages(batch.column("text")), strict=True):
-            found.append(np.unique(runs[np.isin(anchors, known.values.to_numpy().view(np.uint64))]))
-            ids.append(np.full(len(found[-1]), i, np.int64))
-        yield pa.record_batch({"doc_id": np.concatenate(ids), "run": np.concatenate(found).view(np.int64)})
-
-
-def _without(text: bytes, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
-    """A text without some of its tokens, and how many lines it had of these only."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    out, at, lost = [], 0, 0
-    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        s, e = int(starts[i]), int(ends[j - 1])
-        opens = b"\n" in text[int(ends[i - 1]) : s] if i else True
-        after = text[e : int(starts[j])] if j < len(starts) else text[e:]
-        shuts = b"\n" in after or j == len(starts)
-        lines = 1 + sum(1 for k in range(i, j - 1) if b"\n" in text[int(ends[k]) : int(starts[k + 1])])
-        # lines cut at their begin or end are not lost
-        lost += max(0, lines - (not opens) - (not shuts))
-        out.append(text[at:s])
-        # what follows goes on in this place, in a line of its own where it had one and the cut began inside one
-        at = e + (after.index(b"\n") if b"\n" in after and not opens else len(after) if j < len(starts) else 0)
-    return b"".join([*out, text[at:]]), lost
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(first, 500) for whole in batches for first in range(0, whole.num_rows, 500)):
-        texts, lost, cuts = [], [], []
-        for t, drop, (runs, _, starts, ends) in zip(batch.column("text"), batch.column("drop"), _passages(batch.column("text")), strict=True):
-            text, n, gone = t.as_py(), 0, None
-            if text is not None and drop.is_valid:
-                hit = np.zeros(len(starts) + 1, np.int64)
-                at = np.flatnonzero(np.isin(runs, drop.values.to_numpy().view(np.uint64)))
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + PASSAGE, -1)
-                gone = np.cumsum(hit)[:-1] > 0
-                cut, n = _without(text.encode(), gone, starts, ends)
-                text = cut.decode()
-            texts.append(text)
-            lost.append(n)
-            cuts.append(0 if gone is None else int(gone.sum()))
-        names = [n for n in batch.schema.names if n not in ("text", "drop")]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(texts, pa.string()), pa.array(lost, pa.int64()), pa.array(cuts, pa.int64())], names=[*names, "text", "n_lost", "n_cut"])
+    """The passages around the wanted anchors of each row."""
+    for batch in _slices(batches):
+        ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
+        for a, b, data, off in _text.blocks(batch.column("text")):
+            x = Runs(data, off)
+            for i in range(b - a):
+                n = int(x.first[i + 1] - x.first[i])
+                places = batch.column("places")[a + i].values.to_numpy().astype(np.int64)
+                at = np.unique((places[:, None] - np.arange(_REACH + 1)).ravel())
+                at = at[(at >= 0) & (at + PASSAGE <= n)]
+                run = x.hashes(x.first[i] + at, x.first[i] + at + PASSAGE)
+                yield pa.record_batch({"doc_id": np.full(len(at), ids[a + i]), "key": np.full(len(at), keys[a + i]), "place": at.astype(np.int32), "run": run.view(np.int64)})
 
 
-def drop_repeated_passages(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs(doc_id, text, ...)`` without the passages that a document of smaller id has too; n_lost, the lines that went whole, and n_cut, the tokens that went, are added.
+def _without(text: bytes, begin: list[int], gone: list[bool], starts: np.ndarray, ends: np.ndarray, covered: np.ndarray, token: np.ndarray) -> tuple[str, int]:
+    """A text without lines that are gone and tokens that are covered, and how many lines went whole."""
+    out, lost = [], 0
+    for k, (s, dead) in enumerate(zip(begin, gone, strict=True)):
+        e = begin[k + 1] - 1 if k + 1 < len(begin) else len(text)
+        hit = np.flatnonzero(covered[token[k] : token[k + 1]])
+        if dead or (len(hit) and len(hit) == token[k + 1] - token[k]):
+            lost += 1
+            continue
+        at = s
+        pieces = []
+        for i in hit.tolist():
+            # a token goes with the white space after it
+            i += int(token[k])
+            pieces.append(text[at : int(starts[i])])
+            at = int(starts[i + 1]) if i + 1 < token[k + 1] else int(ends[i])
+        out.append((b"".join(pieces) + text[at:e]) if pieces else text[s:e])
+    return b"\n".join(out).decode(), lost
 
-    Null texts, null and repeated ids are treated as in ``drop_recurring_lines``; columns named n_lost, n_cut, drop or anchors are replaced.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    scratch = Scratch(spark, "passages")
-    docs = scratch.keep("docs", docs.drop("n_lost", "n_cut", "drop", "anchors"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.keep("rows", texts.mapInArrow(_anchors, "doc_id long, anchor long"))
+
+def _apply(batches: Iterator[pa.RecordBatch], leave: float) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        texts, total, dropped, cuts = [], [], [], []
+        column = batch.column("text")
+        for a, b, data, off in _text.blocks(column):
+            x = Lines(data, off)
+            for i in range(b - a):
+                s, e = int(x.cut[i]), int(x.cut[i + 1])
+                first, last = int(x.first[i]), int(x.first[i + 1])
+                lines, spans = batch.column("_lines")[a + i], batch.column("_spans")[a + i]
+                gone, covered = np.zeros(e - s, bool), np.zeros(last - first, bool)
+                if lines.is_valid:
+                    gone = np.isin(x.line[s:e], lines.values.to_numpy().view(np.uint64))
+                    if int(x.n[s:e][gone].sum()) > leave * (last - first):
+                        gone[:] = False
+                if spans.is_valid:
+                    places = spans.values
+                    hit = np.zeros(last - first + 1, np.int64)
+                    np.add.at(hit, np.maximum(0, places.field("start").to_numpy()), 1)
+                    np.add.at(hit, np.minimum(last - first, places.field("end").to_numpy()), -1)
+                    covered = np.cumsum(hit)[:-1] > 0
+                text = column[a + i].as_py()
+                lost = 0
+                if text is not None and (gone.any() or covered.any()):
+                    o = int(off[i])
+                    token = np.append(x.token[s:e], last) - first
+                    text, lost = _without(text.encode(), (x.begin[s:e] - o).tolist(), gone.tolist(), x.starts[first:last] - o, x.ends[first:last] - o, covered, token)
+                texts.append(text)
+                total.append(0 if text is None else e - s)
+                dropped.append(lost)
+                cuts.append(int(covered.sum()))
+        names = [n for n in batch.schema.names if n not in ("text", "_lines", "_spans")]
+        yield pa.RecordBatch.from_arrays(
+            [*map(batch.column, names), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, dropped, cuts))], names=[*names, "text", "n_lines", "n_dropped", "n_cut"]
+        )
+
+
+def _of_some(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """``docs`` with what ``some(doc_id, key, ...)`` has for them; where these are few, only they are shuffled."""
+    ids = some.select("doc_id").distinct()
+    if ids.count() <= MAX_BROADCAST:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.join(some, ["doc_id", "key"])
+
+
+def _line_drops(scratch: Scratch, docs: DataFrame, min_docs: int) -> DataFrame:
+    """``(doc_id, key, _lines)``: hashes of the lines that go."""
+    rows = scratch.keep("lines", docs.mapInArrow(_lines, "doc_id long, key long, leaf long, line long"), TEXTS)
+    by = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("low"))
+    by = scratch.keep("by", by.where(f"docs > 1 or leaf is not null"))
+    exact = by.where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"), F.col("low").alias("owner"))
+    rest = by.where((F.col("docs") < min_docs) & F.col("leaf").isNotNull())
+    open_ = rest.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    rest = scratch.keep("rest", rest.join(open_, "leaf"))
+    # the tokens of each such line, from one document that has it
+    wanted = rest.select(F.col("low").alias("doc_id"), "line").join(rows, ["doc_id", "line"]).groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("x"))
+    wanted = scratch.keep("wanted", wanted.groupBy("x.doc_id", "x.key").agg(F.collect_list("line").alias("lines")))
+    tokens = _of_some(docs, wanted).mapInArrow(_tokens, "leaf long, line long, tokens array<long>").dropDuplicates(["line"])
+    tokens = scratch.keep("tokens", tokens.join(rest.select("line", "docs"), "line"))
+    each = tokens.select("leaf", "line", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    literal = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token")
+    variable = F.col("token") == F.lit(int(_VARIABLE.view(np.int64)))
+    template = (
+        each.join(literal, ["leaf", "at", "token"]).groupBy("leaf", "line", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("of"), F.count(F.when(~variable, 1)).alias("literals"))
+        .where((F.col("literals") >= LITERALS) & (F.col("literals") >= LITERAL_SHARE * F.col("n")))
+        .select("line", F.xxhash64("leaf", "of").alias("template"))
+    )
+    members = rows.select("doc_id", "line").join(template, "line")
+    general = members.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("owner")).where(F.col("docs") >= min_docs)
+    general = template.join(general.select("template", "owner"), "template").select("line", "template", "owner")
+    known = scratch.keep("templates", exact.unionByName(general).select("line", "owner"))
+    drops = rows.join(known, "line").where("doc_id <> owner").groupBy("doc_id", "key").agg(F.collect_set("line").alias("_lines"))
+    drops = scratch.keep("drops", drops)
+    scratch.drop("lines", "by", "rest", "wanted", "tokens", "templates")
+    return drops
+
+
+def _passage_drops(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """``(doc_id, key, _spans)``: tokens that go, by place."""
+    rows = scratch.keep("anchors", docs.mapInArrow(_anchors, "doc_id long, key long, place int, anchor long, around long"), TEXTS)
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    known = scratch.keep("known", rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    scratch.drop("rows")
-    runs = scratch.keep("runs", texts.join(known, "doc_id").mapInArrow(_runs, "doc_id long, run long"))
-    scratch.drop("known")
+    shared = scratch.keep("shared", shared)
+    some = F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared
+    known = scratch.keep("known", rows.join(some, "anchor"))
+    scratch.drop("anchors", "shared")
+    kinds = scratch.keep("kinds", known.groupBy("anchor", "around").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")))
+    # tokens around an anchor that a smaller document has alike
+    alike = known.join(kinds.where("rep < high").select("anchor", "around", "rep"), ["anchor", "around"]).where("doc_id <> rep")
+    alike = alike.select("doc_id", "key", (F.col("place") - _REACH).alias("start"), (F.col("place") + PASSAGE).alias("end"))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    open_ = known.join(kinds.select("anchor", "around", "rep"), ["anchor", "around"]).where("doc_id = rep").join(several, "anchor")
+    open_ = scratch.keep("open", open_.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places")))
+    runs = scratch.keep("runs", _of_some(docs, open_).mapInArrow(_runs, "doc_id long, key long, place int, run long"), TEXTS)
     owned = runs.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("run", "owner")
-    drops = scratch.keep("drops", runs.join(owned, "run").where("doc_id <> owner").groupBy("doc_id").agg(F.collect_set("run").alias("drop")))
-    scratch.drop("runs")
-    scratch.release()
-    joined = docs.join(drops, "doc_id", "left")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "drop"))
-    return joined.mapInArrow(_cut, f"{kept}, text string, n_lost long, n_cut long")
+    partly = runs.join(owned, "run").where("doc_id <> owner").select("doc_id", "key", F.col("place").alias("start"), (F.col("place") + PASSAGE).alias("end"))
+    drops = alike.unionByName(partly).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    drops = scratch.keep("spans", drops)
+    scratch.drop("known", "kinds", "open", "runs")
+    return drops
+
+
+def _rewritten(docs: DataFrame, lines: bool, passages: bool, min_docs: int, leave: float) -> DataFrame:
+    spark = docs.sparkSession
+    ship_package(spark)
+    scratch = Scratch(spark, "lines")
+    docs = docs.drop("n_lines", "n_dropped", "n_cut", "_lines", "_spans", "_key")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    found = []
+    if lines:
+        found.append(_line_drops(scratch, texts, min_docs).withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
+    if passages:
+        found.append(_passage_drops(scratch, texts).withColumn("_lines", F.lit(None).cast("array<long>")))
+    drops = found[0] if len(found) == 1 else scratch.keep(
+        "all", found[0].unionByName(found[1]).groupBy("doc_id", "key").agg(F.first("_lines", ignorenulls=True).alias("_lines"), F.first("_spans", ignorenulls=True).alias("_spans"))
+    )
+    drops = drops.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_lines", "_spans")
+    joined = docs.join(drops, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_lines", "_spans"))
+    return joined.mapInArrow(lambda it: _apply(it, leave), f"{kept}, text string, n_lines long, n_dropped long, n_cut long")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leave: float = 1.0) -> DataFrame:
+    """All rows of ``docs(doc_id, text, ...)`` without the lines whose template recurs; n_lines, n_dropped and n_cut (0) are added.
+
+    A text of which more than the share ``leave`` of tokens would go stays as it is:
+    it is a copy rather than a text with recurring lines.  Lines end with a line
+    feed.  A null text stays null; a row with a null doc_id is kept as it is and not
+    counted; repeated rows of one doc_id count as one document and are treated
+    alike; columns named n_lines, n_dropped, n_cut, _lines, _spans or _key are replaced.
+    """
+    return _rewritten(docs, True, False, min_docs, leave)
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs(doc_id, text, ...)`` without the passages that a document of smaller id has too.
+
+    n_lines, n_dropped (lines that went whole) and n_cut (tokens that went) are
+    added.  Nulls, repeated rows and clashing columns are treated as in ``drop_recurring_lines``.
+    """
+    return _rewritten(docs, False, True, MIN_DOCS, 1.0)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """All rows of ``docs(doc_id, text, ...)`` without recurring lines and repeated passages, both found in the texts as given.
+
+    n_lines, n_dropped and n_cut are added, and the rest is treated as in ``drop_recurring_lines``.
+    """
+    return _rewritten(docs, True, True, min_docs, 1.0)

@@ -65,8 +65,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without recurring lines and repeated passages: how many lines they had, how many went, and the digest of what is left."""
-    kept = lines.drop_repeated_passages(lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return kept.select("doc_id", "n_lines", (F.col("n_dropped") + F.col("n_lost")).alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", "n_cut", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

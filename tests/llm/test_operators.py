@@ -203,37 +203,74 @@ def test_language(spark, odd):
 # lines
 
 
-def naive_lines(rows):
-    def keys(line):
-        w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
-        n, out = len(w), []
-        if n >= lines.MIN_TOKENS:
-            out.append((n, *w))
-        if n >= lines.GENERAL_FROM:
-            for f in range(4):
-                a, b = 3 + (n - 3) * f // 4, 3 + (n - 3) * (f + 1) // 4
-                out.append((f, n, tuple(w[:a]), tuple(w[b:])))
-        return out
-
+def naive_templates(rows):
+    """The template of each distinct line (by its text), and the documents of each template."""
+    plain, digit = {}, re.compile("[0-9]")
+    docs_of = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            w = WORD.findall(line)
+            if re.search(r"[^\W_]", line):
+                masked = tuple("<*>" if digit.search(x) else x for x in w)
+                plain[line] = masked if len(w) - masked.count("<*>") >= 2 else ("as it is", *w)
+                docs_of[plain[line]].add(i)
+    leaves = defaultdict(list)
+    for k, d in docs_of.items():
+        if len(d) < 3 and len(k) > 3 and k[0] != "as it is" and len(k) - k.count("<*>") >= 5:
+            leaves[len(k), k[:3]].append(k)
+    general = {}
+    for leaf, ks in leaves.items():
+        seen = defaultdict(int)
+        for k in ks:
+            for p, x in enumerate(k):
+                seen[p, x] += len(docs_of[k])
+        for k in ks:
+            literal = tuple((p, x) for p, x in enumerate(k) if seen[p, x] >= 3)
+            words = sum(x != "<*>" for _, x in literal)
+            if words >= 5 and words >= 0.7 * len(k):
+                general[k] = (leaf, literal)
+    members = defaultdict(set)
+    for k, g in general.items():
+        members[g] |= docs_of[k]
+    template = {k: general[k] if k in general and len(members[general[k]]) >= 3 else k for k in docs_of}
     where = defaultdict(set)
+    for k, t in template.items():
+        where[t] |= docs_of[k]
+    return {line: template[k] for line, k in plain.items()}, where
+
+
+def naive_lines(rows, leave=1.0):
+    template, where = naive_templates(rows)
+    out = {}
     for i, t in rows:
-        for line in t.split("\n"):
-            for k in keys(line):
-                where[k].add(i)
-    return {
-        i: "\n".join(x for x in t.split("\n") if not any(len(where[k]) >= lines.MIN_DOCS and min(where[k]) != i for k in keys(x))) for i, t in rows
-    }
+        parts = t.split("\n")
+        gone = [x in template and len(where[template[x]]) >= 3 and min(where[template[x]]) != i for x in parts]
+        lost = sum(len(WORD.findall(x)) for x, g in zip(parts, gone, strict=True) if g)
+        out[i] = t if lost > leave * len(WORD.findall(t)) else "\n".join(x for x, g in zip(parts, gone, strict=True) if not g)
+    return out
 
 
 def test_lines(spark, odd):
     rng = random.Random(5)
-    pool = [" ".join(rng.choice("ab cd ef gh 12 ij7".split()) for _ in range(rng.randint(0, 11))) for _ in range(60)]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in range(80)]
-    rows += [(100 + i, f"user {i} logged in from the host name{chr(97 + i)} at noon today\nown line number x{chr(97 + i)} stays") for i in range(4)]
+    pool = [" ".join(rng.choice("ab cd ef gh 12 ij7 --".split()) for _ in range(rng.randint(0, 11))) for _ in range(60)]
+    pool += [" ".join(["q", "r", "s", *(rng.choice("tuvw") + "x" * rng.choice((0, 0, 0, rng.randrange(99))) for _ in range(n))]) for n in (3, 5, 8, 8, 8) for _ in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in range(160)]
+    names = "ann bob cy dan eve".split()
+    rows += [(1000 + i, f"session opened for {x} from the host {y} at noon today\nown line number x{x} stays") for i, (x, y) in enumerate(zip(names, "h k m n o".split(), strict=True))]
+    # each of the first document's line's fields has another owner elsewhere: some line of the template must stay
+    rows += [(2000 + i, f"a job ended {a} with the state {b} on the old queue") for i, (a, b) in enumerate([("p", "x"), ("q", "x"), ("p", "y"), ("r", "x"), ("p", "z"), ("s", "x")])]
+    rows += [(3000 + i, f"{i} 4 {i}5\n77 8") for i in range(5)]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, n_dropped string")
     got = {r.doc_id: r.text for r in lines.drop_recurring_lines(df).collect()}
     assert got == naive_lines(rows)
-    assert got[101] == "own line number xb stays" and got[100].startswith("user 0")
+    assert got[1001] == "own line number xbob stays" and got[1000].startswith("session opened for ann")
+    assert [got[3000 + i] for i in range(3)] == ["0 4 05\n77 8", "1 4 15", "2 4 25"]
+    # of every template that lost lines a line stays
+    template, where = naive_templates(rows)
+    kept = {template.get(x) for t in got.values() for x in t.split("\n")}
+    assert all(template[x] in kept for _, t in rows for x in t.split("\n") if x in template)
+    half = {r.doc_id: r.text for r in lines.drop_recurring_lines(df, leave=0.5).collect()}
+    assert half == naive_lines(rows, 0.5) and half != got
     out = lines.drop_recurring_lines(odd).collect()
     assert sorted(str(r.text) for r in out) == sorted(str(r.text) for r in odd.collect())
     assert lines.drop_recurring_lines(odd.limit(0)).count() == 0
@@ -247,7 +284,7 @@ def test_passages(spark, odd):
 
     passage, two, short = prose(90), prose(30) + "\n" + prose(40), prose(49)
     texts = [f"{prose(40)} {passage} end", f"{two}\n{short}", f"begin {passage} {short} tail", f"head\n{two}\nlast", passage, None, f"a {prose(300)}"]
-    got = {r.doc_id: (r.text, r.n_lost) for r in lines.drop_repeated_passages(lines.drop_recurring_lines(docs(spark, texts))).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup_lines(docs(spark, texts)).collect()}
     assert got[0] == (texts[0], 0) and got[1] == (texts[1], 0) and got[5] == (None, 0) and got[6] == (texts[6], 0)
     assert got[2] == (f"begin {short} tail", 0) and got[3] == ("head\nlast", 2) and got[4] == ("", 1)
     # against every run of some texts with long common parts
@@ -262,6 +299,8 @@ def test_passages(spark, odd):
             if owner.setdefault(tuple(w[p : p + 50]), i) != i:
                 gone[p : p + 50] = [True] * 50
         assert got[i] == [x for x, g in zip(w, gone, strict=True) if not g]
+    again = lines.drop_repeated_passages(docs(spark, ["a b " * 300, f"c {prose(60)}", "b a " * 90]).withColumn("_spans", F.lit(1)).withColumn("n_cut", F.lit("x"))).collect()
+    assert {r.doc_id: (len(r.text.split()), r.n_cut) for r in again}[2] == (0, 180)
     out = lines.drop_repeated_passages(odd).collect()
     assert sorted(str(r.text) for r in out) == sorted(str(r.text) for r in odd.collect())
     assert lines.drop_repeated_passages(odd.limit(0)).count() == 0
@@ -487,7 +526,7 @@ def test_pipeline(spark):
     final = df.collect()
     assert all(r.lossless for r in final)
     assert inputs["jaccard_join"] != inputs["line_dedup"]
-    want = naive_lines(sorted(inputs["line_dedup"].items()))
+    want = naive_lines(sorted(inputs["line_dedup"].items()), corpus_pipeline.LEAVE_COPIES)
     assert inputs["jaccard_join"] == {i: t for i, t in want.items() if t.strip() or t == inputs["line_dedup"][i]}
     classes = brute(sorted(inputs["jaccard_join"].items()))
     assert inputs["decontamination"].keys() == {i for i, (_, c) in classes.items() if c == i}
