@@ -13,6 +13,8 @@ from seriesforge.llm.registry import fit_quality
 
 #: Documents below this quality score go.
 LEAST_QUALITY = 0.3
+#: A document of which more than this share of tokens recurs line by line is a copy: near duplicates are found later, on whole texts.
+LEAVE_COPIES = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,20 +23,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
 
 
+def _with_length(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of a rewriting without those left blank by it, their n_chars counted anew, with the columns of docs."""
+    changed = (F.col("n_dropped") > 0) | (F.col("n_cut") > 0)
+    length = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.where(~F.coalesce(changed & (F.trim("text") == ""), F.lit(False))).withColumn("n_chars", length).select(docs.columns)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but one; a document of which only blanks are left goes too."""
-    kept = lines.drop_recurring_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
-    return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Recurring lines go from all documents but one, except from copies, which the next stage handles; a document of which only blanks are left goes too.
+
+    Null texts and ids stay; repeated rows are alike; an empty table gives none.
+    """
+    return _with_length(lines.drop_recurring_lines(docs, leave=LEAVE_COPIES), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one of smallest doc_id stays; passages that those left share go from all but one, and documents left blank go."""
+    """Of linked documents the one of smallest doc_id stays; passages that those left share go from all but one, and documents left blank go.
+
+    Null and blank texts and null ids are linked with nothing and stay; repeated rows of an id stay or go together.
+    """
     gone = jaccard.jaccard_classes(docs, w=5, percent=75).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = lines.drop_repeated_passages(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
-    length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    emptied = (F.col("n_cut") > 0) & (F.trim("text") == "")
-    return kept.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_cut") > 0, length).otherwise(F.col("n_chars"))).select(docs.columns)
+    return _with_length(lines.drop_repeated_passages(docs.join(gone, "doc_id", "left_anti").select(docs.columns)), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
