@@ -62,7 +62,7 @@ PIVOTS = 5
 #: Times that nodes outside a signature's largest component meet pivots of it.
 ROUNDS = 1
 #: Nodes on either side that are compared in one task.
-BLOCK = 1024
+BLOCK = 512
 _NO_SET = 0xFFFF
 
 
@@ -189,18 +189,30 @@ def _marks(batches: Iterator[pa.RecordBatch], w: int, percent: int, parts: int)
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Of one part's tokens: how many of each set other blocks hold too."""
+    """Of one part's tokens: those of each block that other blocks hold too, as the sets that hold them."""
     blocks = group.column("block").to_numpy()
     tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens")]
-    block = np.repeat(blocks, [len(t) for t in tokens])
     owner = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in group.column("owner")])
     t = np.concatenate(tokens)
     order = np.argsort(t, kind="stable")
     twice = np.diff(t[order]) == 0
-    at = order[np.concatenate([[False], twice]) | np.concatenate([twice, [False]])]
-    at = at[owner[at] != _NO_SET]
-    pair, n = np.unique(np.stack([block[at], owner[at].astype(np.int64)]), axis=1, return_counts=True)
-    return pa.table({"block": pair[0], "idx": pair[1].astype(np.int32), "shared": n})
+    several = np.zeros(len(t), bool)
+    several[order] = np.concatenate([[False], twice]) | np.concatenate([twice, [False]])
+    several &= owner != _NO_SET
+    edge = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
+    found = [owner[a:b][several[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.table({"block": blocks, "owner": pa.array(found, pa.binary())})
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """How many tokens each set of one block shares."""
+    n = np.zeros(0, np.int64)
+    for x in group.column("owner"):
+        more = np.bincount(np.frombuffer(x.as_buffer(), np.uint16), minlength=len(n))
+        more[: len(n)] += n
+        n = more
+    idx = np.flatnonzero(n)
+    return pa.table({"block": np.full(len(idx), group.column("block")[0].as_py()), "idx": idx.astype(np.int32), "shared": n[idx]})
 
 
 def bitmap(s: np.ndarray, width: int = 8) -> bytes:
@@ -326,8 +338,8 @@ def linked_nodes(spark: SparkSession, scratch: Scratch, docs: DataFrame, w: int,
     parts = max(least, math.ceil(chars / PART_CHARS))
     marks = scratch.keep("marks", docs.mapInArrow(lambda it: _marks(it, w, percent, parts), _MARK_SCHEMA), TEXTS, by="kind")
     nodes = marks.where("kind = 0").select("doc_id", "node", "n")
-    shared = marks.where("kind = 1").select("part", "block", "tokens", "owner").groupBy("part").applyInArrow(_shared, "block long, idx int, shared long")
-    shared = shared.groupBy("block", "idx").agg(F.sum("shared").alias("shared"))
+    shared = marks.where("kind = 1").select("part", "block", "tokens", "owner").groupBy("part").applyInArrow(_shared, "block long, owner binary")
+    shared = shared.groupBy("block").applyInArrow(_summed, "block long, idx int, shared long")
     first = marks.where("kind = 0 and idx is not null").select("doc_id", "node", "n", "block", "idx", "spare")
     left = first.join(shared, ["block", "idx"], "left").where("spare <= coalesce(shared, 0)")
     wanted = scratch.keep("wanted", left.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
