@@ -119,6 +119,40 @@ def test_pieces_follow_the_lattice():
     assert other != pieces.encode_texts(pieces.Lattices(v), list(range(50)), ["there and then"] * 50, 3)
 
 
+def test_long_words():
+    v = pieces.vocabulary(pieces.MODEL, 1.0)
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = "".join(rng.choice(letters) for _ in range(5_000_000))
+    texts = [blob, "a" * 30_000, "語" * 30_000 + "é" * 500, " " * 20_000 + "x", "the" * 11 + " end"]
+    out = pieces.encode_texts(pieces.Lattices(v), list(range(5)), texts, 0)
+    assert [pieces.decode_tokens(v, t) for t in out] == texts
+    # a cut stands wherever no piece reaches across, and nowhere else
+    known = {t.decode() for t in v.text if t and not t.startswith(b"\x80") and _utf8(t)}
+    word, at, cuts = blob[:3000], 0, set()
+    for part in v.segments(word):
+        at += len(part)
+        cuts.add(at)
+    for b in range(1, len(word)):
+        crossed = any(word[i:j] in known for i in range(max(0, b - v.longest), b) for j in range(b + 1, min(len(word), i + v.longest) + 1))
+        assert crossed == (b not in cuts)
+    # a word is sampled alike whether it is summed up with others or by itself, walked or not
+    lat = pieces.Lattices(v)
+    size = pieces.ALONE + 7
+    one, two = "ab" * (size // 2), "ba" * (size // 2)
+    both = lat.sample(lat.look_up([one, two]), np.array([5, 6], np.uint64))
+    alone = [pieces.Lattices(v) for _ in range(2)]
+    each = [x.sample(x.look_up([w]), np.array([seed], np.uint64)) for x, w, seed in zip(alone, (one, two), (5, 6), strict=True)]
+    assert both[0].tolist() == [*each[0][0].tolist(), *each[1][0].tolist()]
+
+
+def _utf8(b):
+    try:
+        return bool(b.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 # decontamination
 
 ITEM = "Alice has 12 apples and buys 7 more apples from Bob for 3 dollars each day. How many apples does Alice have now?"
