@@ -19,7 +19,7 @@ QUERIES = [
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from seriesforge.plans import catalog
+    from seriesforge.plans import catalog, stored  # noqa: F401  stored adds its queries to the catalog
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")

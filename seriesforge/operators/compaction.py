@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions.labels import label_key
 from seriesforge.operators.selectors import union_blocks
+from seriesforge.sources.blocks import write_block
 
 
 def _compact(blocks: Sequence[DataFrame], pick) -> DataFrame:
@@ -28,3 +29,10 @@ def vertical(blocks: Sequence[DataFrame]) -> DataFrame:
 def horizontal(blocks: Sequence[DataFrame]) -> DataFrame:
     """Successive blocks: the last block that has a series' time wins."""
     return _compact(blocks, F.max_by)
+
+
+def to_block(inputs: Sequence[DataFrame], path: str, mode: str = "vertical") -> dict:
+    """Compact blocks, oldest first, into a block at path; its meta data.  The inputs stay; no samples raise."""
+    if mode not in ("vertical", "horizontal"):
+        raise ValueError("mode is vertical or horizontal")
+    return write_block({"vertical": vertical, "horizontal": horizontal}[mode](inputs), path)

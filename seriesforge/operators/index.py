@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.functions.labels import canonical, fingerprint, label_key, valid_labels
@@ -36,6 +38,18 @@ def posting_list(series: DataFrame, label: str, value: str) -> DataFrame:
     return series.where(F.try_element_at("labels", F.lit(label)) == value).select("series_id").distinct()
 
 
+def posting_arrays(series: DataFrame) -> DataFrame:
+    """label, label_value and ids, the rising array of all their series; for lists that fit a row."""
+    return postings(series).groupBy("label", "label_value").agg(F.array_sort(F.collect_set("series_id")).alias("ids"))
+
+
+def posting_ids(spark: SparkSession, ids: Sequence[int]) -> DataFrame:
+    """A posting list of given ids, which have to rise."""
+    if any(b <= a for a, b in zip(ids[:-1], ids[1:], strict=True)):
+        raise ValueError("ids do not rise")
+    return spark.createDataFrame([(i,) for i in ids], "series_id long")
+
+
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 

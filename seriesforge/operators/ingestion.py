@@ -6,18 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a tenant that are ranked apart first.
+SALTS = 32
+
+
 class CardinalityLimitExceeded(Exception):
     """A tenant has as many series as its budget allows."""
 
 
-def monotonic(samples: DataFrame, order: str = "seq") -> DataFrame:
+#: Arrival numbers of one stretch of a series, which one task looks at.
+STRETCH = 1 << 16
+
+
+def monotonic(samples: DataFrame, order: str = "seq", stretch: int = STRETCH) -> DataFrame:
     """Samples with ``accepted``: later than all samples of the series that arrived before.
 
-    The highest earlier time equals the highest accepted one, so a running maximum is enough.
+    The highest earlier time equals the highest accepted one, so a running maximum is
+    enough.  A series is cut into stretches of arrival numbers: their maxima run over one row each, and
+    samples are compared inside a stretch, so a series of any length is dealt to many tasks.
     """
-    before = Window.partitionBy("label_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("ts_ms").over(before)
-    return samples.withColumn("accepted", (F.col("ts_ms") >= 0) & (top.isNull() | (F.col("ts_ms") > top)))
+    keys = ["label_key", "_stretch"]
+    rows = samples.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    tops = rows.groupBy(*keys).agg(F.max("ts_ms").alias("_own"))
+    earlier = Window.partitionBy("label_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, F.max("_own").over(earlier).alias("_before"))
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    top = F.greatest(F.max("ts_ms").over(inside), F.col("_before"))
+    joined = rows.join(tops, keys)
+    return joined.withColumn("accepted", (F.col("ts_ms") >= 0) & (top.isNull() | (F.col("ts_ms") > top))).drop("_stretch", "_before")
 
 
 def active_series(samples: DataFrame) -> DataFrame:
@@ -29,7 +45,9 @@ def tenant_gate(samples: DataFrame, budgets: DataFrame | None, default: int, ord
     """Samples with ``admitted``: their series is among the tenant's first ones, as many as its budget, in arrival order.
 
     ``known(tenant, label_key)`` are series admitted before; they stay admitted
-    and use up the budget.  Ranks run over distinct series, one row each.
+    and use up the budget.  Ranks run over distinct series, one row each: first in
+    ``SALTS`` parts of a tenant, then over those within the budget there, so a task
+    ranks that many times the budget at most.
     """
     if default < 1:
         raise ValueError("a budget is 1 or more")
@@ -44,10 +62,15 @@ def tenant_gate(samples: DataFrame, budgets: DataFrame | None, default: int, ord
         first = first.join(budgets.select("tenant", "max_active_series"), "tenant", "left")
     else:
         first = first.withColumn("max_active_series", F.lit(None).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("tenant", F.col("_old").isNull()).orderBy("_first"))
     limit = F.coalesce("max_active_series", F.lit(default)) - F.coalesce("_used", F.lit(0))
-    admitted = first.select("tenant", "label_key", (F.col("_old").isNotNull() | (rank <= limit)).alias("admitted"))
-    return samples.join(admitted, ["tenant", "label_key"])
+    new = first.where("_old is null").select("tenant", "label_key", "_first", limit.alias("_limit"), F.pmod(F.xxhash64("label_key"), F.lit(SALTS)).alias("_salt"))
+    for by in (["tenant", "_salt"], ["tenant"]):
+        new = new.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_first"))).where("_rank <= _limit").drop("_rank")
+    admitted = new.select("tenant", "label_key")
+    if known is not None:
+        admitted = admitted.unionByName(known.select("tenant", "label_key").distinct())
+    found = admitted.withColumn("admitted", F.lit(True))
+    return samples.join(found, ["tenant", "label_key"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
 def abort_after_rejection(gated: DataFrame, body: str = "body", order: str = "seq") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesforge.functions.labels import label_key, label_or_blank
+from seriesforge.functions.labels import fingerprint, label_key, label_or_blank
 from seriesforge.operators.matchers import Matcher, filter_series
 
 #: Width of the time partitions of stored blocks.
@@ -43,8 +43,11 @@ def select(samples: DataFrame, matchers: Iterable[Matcher], start: int, end: int
 
 
 def range_select(samples: DataFrame, matchers: Iterable[Matcher], start: int, end: int) -> DataFrame:
-    """The range selector: samples by series, time and block order; blocks are not deduplicated."""
-    return select(samples, matchers, start, end).orderBy("label_key", "ts_ms", "block_ord")
+    """The range selector: samples by series (signed id, then labels), time and block order; blocks are not deduplicated."""
+    out = select(samples, matchers, start, end)
+    if "series_id" not in out.columns:
+        out = out.withColumn("series_id", fingerprint(F.col("label_key")))
+    return out.orderBy("series_id", "label_key", "ts_ms", "block_ord")
 
 
 def instant_select(samples: DataFrame, matchers: Iterable[Matcher], ts: int) -> DataFrame:

@@ -218,12 +218,6 @@ def canonical_labels(spark, sf_dir):
     return tables.keyed(_events(spark, sf_dir)).select("label_key").distinct().select(canonical(F.col("label_key")).alias("canonical"))
 
 
-@query()
-def fingerprints(spark, sf_dir):
-    """FNV-1a fingerprints of all series; SQL without wrapping products cannot fold them, tests hold golden values."""
-    return _series(spark, sf_dir).select("canonical", "series_id")
-
-
 @query(f"{_EVENTS}, m AS (SELECT ts_ms - ts_ms % 86400000 AS block_start, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, count(DISTINCT (event_type, user_id)) AS series_count, count(*) AS sample_count FROM s GROUP BY 1) SELECT 'block-' || lpad(CAST(min_ts AS VARCHAR), 13, '0') || '-' || lpad(CAST(max_ts AS VARCHAR), 13, '0') AS id, * FROM m")
 def block_meta(spark, sf_dir):
     return blocks.block_meta(tables.keyed(_events(spark, sf_dir)), 86_400_000)

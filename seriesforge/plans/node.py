@@ -1,91 +1,205 @@
-"""A node: ingestion into a head, flushing to blocks, and queries over the blocks."""
+"""A node: ingestion into a head, flushing to blocks, and queries over the blocks.
+
+Under ``path`` lie the head and the state of ingestion (tenants' series, latest
+times), each as a log of numbered parts, and the blocks, as partitions of one
+table of samples and one of series.  An append counts once its part of the head is whole,
+a block once its meta data are; whatever was left unfinished is written again.  So a node
+opened on an existing path goes on where the last one stopped.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.labels import label_key
-from seriesforge.operators import selectors
+from seriesforge.functions.labels import fingerprint, label_key, valid_labels
+from seriesforge.operators import compaction, selectors
 from seriesforge.operators.ingestion import CardinalityLimitExceeded, monotonic, tenant_gate
 from seriesforge.operators.matchers import Matcher
 from seriesforge.sources import blocks
 from seriesforge.sources.exposition import parse_body
+from seriesforge.sources.log import Log
 
-_HEAD = "tenant string, seq long, labels map<string,string>, label_key array<struct<key:string,value:string>>, ts_ms long, value double"
+_KEY = "array<struct<key:string,value:string>>"
+_HEAD = f"tenant string, seq long, labels map<string,string>, label_key {_KEY}, ts_ms long, value double"
+#: Parts of a state after which it is written as one.
+MERGE_AFTER = 16
 
 
 class Node:
-    """The head is a table under ``path`` that each append adds to; queries see flushed blocks only, and a flush writes what no flush before has."""
+    """Queries see flushed blocks only, and a flush writes what no flush before has."""
 
     def __init__(self, spark: SparkSession, path: str, budget: int = 1_000_000, budgets: DataFrame | None = None):
         self.spark, self.path, self.budget, self.budgets = spark, path.rstrip("/"), budget, budgets
-        self.block_paths: list[str] = []
-        self._appended = self._flushed = 0
+        self._head = Log(spark, f"{self.path}/head", _HEAD)
+        self._series = Log(spark, f"{self.path}/series", f"tenant string, label_key {_KEY}")
+        self._times = Log(spark, f"{self.path}/times", f"label_key {_KEY}, ts_ms long")
+        self._closed = False
+        self._next = self._head.next()
+        self.metas = self._committed()
+
+    def _committed(self) -> list[dict]:
+        p, fs = Log(self.spark, f"{self.path}/blocks/meta", "")._fs()
+        numbers = sorted(int(f.getPath().getName()[6:]) for f in fs.listStatus(p)) if fs.exists(p) else []
+        whole = [n for n in numbers if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"block={n}/_SUCCESS"))]
+        rows = {r["block"]: r["value"] for r in self.spark.read.text(f"{self.path}/blocks/meta").collect()} if whole else {}
+        return [json.loads(rows[n]) for n in whole]
+
+    def _open(self) -> None:
+        if self._closed:
+            raise ValueError("the node is closed")
+
+    def close(self) -> None:
+        self._closed = True
+
+    def __enter__(self) -> Node:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def head(self, first: int = 0) -> DataFrame:
         """Samples appended since the append of number ``first``."""
-        paths = [f"{self.path}/head/{i}" for i in range(first, self._appended)]
-        return self.spark.read.schema(_HEAD).parquet(*paths) if paths else self.spark.createDataFrame([], _HEAD)
+        return self._head.read(self._next, first)
+
+    def known_series(self) -> DataFrame:
+        """tenant, label_key of all series let in."""
+        return self._series.read(self._next)
+
+    def latest(self) -> DataFrame:
+        """label_key, ts_ms: the latest time of each series of the head."""
+        return self._times.read(self._next).groupBy("label_key").agg(F.max("ts_ms").alias("ts_ms"))
 
     def read(self, start: int, end: int, labels: dict[str, str]) -> DataFrame:
-        """The head's samples of one series; none for an unknown one."""
+        """The head's samples of one series by time; none for an unknown one."""
         wanted = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in labels.items()]))
         return self.head().where((F.col("label_key") == label_key(wanted)) & F.col("ts_ms").between(start, end)).orderBy("ts_ms")
 
+    def read_all(self, labels: dict[str, str]) -> DataFrame:
+        return self.read(-(1 << 63), (1 << 63) - 1, labels)
+
+    def read_id(self, series_id: int, start: int = -(1 << 63), end: int = (1 << 63) - 1) -> DataFrame:
+        """The head's samples of a series by its id; none for an unknown one."""
+        return self.head().where((fingerprint(F.col("label_key")) == series_id) & F.col("ts_ms").between(start, end)).orderBy("ts_ms")
+
     def series_count(self) -> int:
-        return self.head().select("label_key").distinct().count()
+        return self.known_series().select("label_key").distinct().count()
+
+    def get_or_create(self, labels: dict[str, str], tenant: str = "default") -> int:
+        """The id of a series, let in for the tenant if it is new."""
+        self._open()
+        one = self.spark.createDataFrame([(0, labels, None, None)], "seq long, labels map<string,string>, ts_ms long, value double")
+        if not one.where(valid_labels(F.col("labels"))).count():
+            raise ValueError("invalid labels")
+        gated = self._gated(one, tenant)
+        row = gated.select(fingerprint(F.col("label_key")).alias("id"), "admitted").first()
+        if not row["admitted"]:
+            raise CardinalityLimitExceeded(tenant)
+        self._commit(gated.limit(0).drop("admitted"), gated.select("tenant", "label_key"))
+        return row["id"]
+
+    def append_by_id(self, samples: DataFrame, strict: bool = True) -> int:
+        """Append ``samples(seq, series_id, ts_ms, value)`` to known series; an unknown id raises."""
+        self._open()
+        series = self.known_series().select(F.col("tenant").alias("_tenant"), "label_key", fingerprint(F.col("label_key")).alias("series_id"))
+        rows = samples.join(series.dropDuplicates(["series_id"]), "series_id", "left").persist()
+        try:
+            if not rows.where("label_key is null").isEmpty():
+                raise KeyError("an unknown series id")
+            tenants = [r["_tenant"] for r in rows.select("_tenant").distinct().collect()]
+            return sum(self.append(rows.where(F.col("_tenant") == t).withColumn("labels", F.map_from_entries("label_key")), t, strict) for t in tenants)
+        finally:
+            rows.unpersist()
+
+    def _gated(self, samples: DataFrame, tenant: str) -> DataFrame:
+        if not tenant.strip():
+            raise ValueError("tenant is blank")
+        rows = samples.select(F.lit(tenant).alias("tenant"), F.col("seq").cast("long").alias("seq"), "labels", label_key(F.col("labels")).alias("label_key"), "ts_ms", "value")
+        return tenant_gate(rows, self.budgets, self.budget, known=self.known_series())
+
+    def _commit(self, accepted: DataFrame, admitted: DataFrame) -> None:
+        """Write the state of one append and then its samples, which make it count."""
+        n = self._next
+        new = admitted.distinct().join(self.known_series(), ["tenant", "label_key"], "left_anti")
+        times = accepted.groupBy("label_key").agg(F.max("ts_ms").alias("ts_ms"))
+        if self._series.deltas(n) >= MERGE_AFTER:
+            self._series.write(n, self.known_series().unionByName(new), full=True)
+            self._times.write(n, self.latest().unionByName(times).groupBy("label_key").agg(F.max("ts_ms").alias("ts_ms")), full=True)
+        else:
+            self._series.write(n, new)
+            self._times.write(n, times)
+        self._head.write(n, accepted.select("tenant", "seq", "labels", "label_key", "ts_ms", "value"))
+        self._next = n + 1
 
     def append(self, samples: DataFrame, tenant: str = "default", strict: bool = True) -> int:
         """Append ``samples(seq, labels, ts_ms, value)``; how many were accepted.
 
-        Samples are checked before anything is written.  strict raises on a
-        series beyond the budget or a time that does not rise; else such samples are left out.
+        strict stops at the first sample, by seq, of a series beyond the budget or of
+        a time that does not rise: those before it are kept and the error raises.  Else
+        such samples are left out.  The cost follows the batch and the number of series, not the head.
         """
-        if not tenant.strip():
-            raise ValueError("tenant is blank")
-        rows = samples.select(F.lit(tenant).alias("tenant"), F.col("seq").cast("long").alias("seq"), "labels", label_key(F.col("labels")).alias("label_key"), "ts_ms", "value")
-        head = self.head()
-        known = head.select("tenant", "label_key").distinct()
-        gated = tenant_gate(rows, self.budgets, self.budget, known=known)
-        if strict and not gated.where("not admitted").isEmpty():
-            raise CardinalityLimitExceeded(tenant)
+        self._open()
+        gated = self._gated(samples, tenant)
         # the latest time of each series in the head arrives before all new samples
-        latest = head.groupBy("label_key").agg(F.max("ts_ms").alias("ts_ms")).withColumn("seq", F.lit(-(1 << 62)))
-        every = gated.where("admitted").drop("admitted").unionByName(latest, allowMissingColumns=True)
+        before = self.latest().withColumn("seq", F.lit(-(1 << 62)))
+        every = gated.where("admitted").unionByName(before, allowMissingColumns=True)
         checked = monotonic(every).where("tenant is not null")
-        if strict and not checked.where("not accepted").isEmpty():
-            raise ValueError("a time does not rise within its series")
-        target = f"{self.path}/head/{self._appended}"
-        checked.where("accepted").select("tenant", "seq", "labels", "label_key", "ts_ms", "value").write.mode("overwrite").parquet(target)
-        self._appended += 1
-        return self.spark.read.parquet(target).count()
+        checked = checked.unionByName(gated.where("not admitted").withColumn("accepted", F.lit(False))).persist()
+        try:
+            stop = None
+            if strict:
+                stop = checked.where("not accepted").agg(F.min(F.struct("seq", "admitted")).alias("x")).first()["x"]
+            kept = checked if stop is None else checked.where(F.col("seq") <= stop["seq"])
+            accepted = kept.where("accepted").drop("admitted", "accepted")
+            self._commit(accepted, kept.where("admitted").select("tenant", "label_key"))
+            n = accepted.count()
+        finally:
+            checked.unpersist()
+        if stop is not None:
+            if stop["admitted"]:
+                raise ValueError("a time does not rise within its series")
+            raise CardinalityLimitExceeded(tenant)
+        return n
 
     def ingest(self, body: str, tenant: str = "default", strict: bool = True) -> int:
-        """Append a text body; a bad line fails all of it."""
+        """Append a text body; a bad line fails all of it, other errors keep the lines before."""
         return self.append(parse_body(self.spark, body), tenant, strict)
 
     def flush(self) -> dict:
         """Write unflushed samples as a block that queries read."""
-        path = f"{self.path}/blocks/{len(self.block_paths)}"
-        meta = blocks.write_block(self.head(self._flushed), path)
-        self.block_paths.append(path)
-        self._flushed = self._appended
+        self._open()
+        n = len(self.metas)
+        meta = blocks.write_block(self.head(self.metas[-1]["upto"] if n else 0), f"{self.path}/blocks", part=f"block={n}", more={"upto": self._next})
+        self.metas.append(meta)
         return meta
 
-    def samples(self) -> DataFrame:
-        return selectors.union_blocks([blocks.read_block(self.spark, p) for p in self.block_paths])
+    def compact(self, mode: str = "vertical") -> dict:
+        """All blocks merged into one at ``path``/compacted; the blocks stay."""
+        self._open()
+        return compaction.to_block([self.samples().where(F.col("block_ord") == i) for i in range(len(self.metas))], f"{self.path}/compacted", mode)
+
+    def samples(self, matchers: Iterable[Matcher] = (), start: int = 0, end: int = (1 << 63) - 1) -> DataFrame:
+        """Samples of all blocks in one scan, with ``block_ord``; matched ids and the time range reach the files."""
+        if not self.metas:
+            raise ValueError("no blocks")
+        out = blocks.read_block(self.spark, f"{self.path}/blocks", matchers, start, end, parts=len(self.metas))
+        return out.withColumnRenamed("block", "block_ord")
 
     def range(self, matchers: Iterable[Matcher], start: int, end: int) -> DataFrame:
-        return selectors.range_select(self.samples(), matchers, start, end)
+        matchers = list(matchers)
+        return selectors.range_select(self.samples(matchers, start, end), matchers, start, end)
 
     def instant(self, matchers: Iterable[Matcher], ts: int) -> DataFrame:
-        return selectors.instant_select(self.samples(), matchers, ts)
+        matchers = list(matchers)
+        return selectors.instant_select(self.samples(matchers, 0, ts), matchers, ts)
 
     def rate_sum_by(self, matchers: Iterable[Matcher], label: str, start: int, end: int) -> DataFrame:
-        return selectors.rate_sum_by(self.samples(), matchers, label, start, end)
+        matchers = list(matchers)
+        return selectors.rate_sum_by(self.samples(matchers, start, end), matchers, label, start, end)
 
     def avg_by(self, matchers: Iterable[Matcher], label: str, start: int, end: int) -> DataFrame:
-        return selectors.avg_by(self.samples(), matchers, label, start, end)
+        matchers = list(matchers)
+        return selectors.avg_by(self.samples(matchers, start, end), matchers, label, start, end)

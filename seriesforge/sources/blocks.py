@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions.labels import block_id, canonical, fingerprint, intervals_overlap, label_key
-from seriesforge.operators.selectors import BLOCK_MS
+from seriesforge.operators.matchers import Matcher, filter_series
+from seriesforge.operators.selectors import BLOCK_MS, time_range
 
 #: Samples of a chunk.
 CHUNK = 120
@@ -46,32 +48,49 @@ def duplicate_times(samples: DataFrame) -> DataFrame:
     return samples.groupBy("label_key", "ts_ms").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def write_block(samples: DataFrame, path: str, check: bool = True) -> dict:
-    """Write ``samples(labels, ts_ms, value)`` as a block, replacing what is there; the meta data.
+def write_block(samples: DataFrame, path: str, check: bool = True, part: str = "", more: dict | None = None) -> dict:
+    """Write ``samples(labels, ts_ms, value)`` as a block, replacing what is there; the meta data, with ``more`` added.
 
+    part, such as ``block=3``, puts the block beside others under one path.  The meta data are written last.
     Raises on an empty block, on repeated times of a series, and where label sets share a series id.
     """
     spark = samples.sparkSession
-    rows = samples.select("labels", label_key(F.col("labels")).alias("label_key"), "ts_ms", "value")
-    if check and not duplicate_times(rows).isEmpty():
+    where = {name: f"{path}/{name}/{part}".rstrip("/") for name in ("samples", "series", "chunks", "meta")}
+    rows = samples.select(label_key(F.col("labels")).alias("label_key"), "ts_ms", "value").persist()
+    try:
+        meta = block_meta(rows).first()
+        if not meta["sample_count"]:
+            raise ValueError("an empty block")
+        validate_meta(*meta)
+        k = F.col("label_key")
+        series = rows.select(k).distinct().select(fingerprint(k).alias("series_id"), k, canonical(k).alias("canonical"), F.map_from_entries(k).alias("labels"))
+        series.orderBy("series_id").write.mode("overwrite").parquet(where["series"])
+        series = spark.read.parquet(where["series"])
+        if check and not series.groupBy("series_id").count().where("count > 1").isEmpty():
+            raise ValueError("label sets share a series id")
+        stored = rows.join(series.select("label_key", "series_id"), "label_key").select("series_id", "ts_ms", "value", (F.col("ts_ms") - F.col("ts_ms") % BLOCK_MS).alias("block_start"))
+        stored.repartitionByRange("block_start", "series_id").sortWithinPartitions("block_start", "series_id", "ts_ms").write.mode("overwrite").partitionBy("block_start").option("compression", "zstd").parquet(where["samples"])
+    finally:
+        rows.unpersist()
+    # each window of a series is a chunk; a time held twice shows as fewer distinct times than samples
+    stored = spark.read.schema(_SAMPLES).parquet(where["samples"])
+    _chunks(stored).orderBy("series_id", "block_start").write.mode("overwrite").parquet(where["chunks"])
+    if check and not spark.read.parquet(where["chunks"]).where("distinct_times < sample_count").isEmpty():
         raise ValueError("a series has a time twice")
-    meta = block_meta(rows).first()
-    if not meta["sample_count"]:
-        raise ValueError("an empty block")
-    validate_meta(*meta)
-    k = F.col("label_key")
-    series = rows.select(k).distinct().select(fingerprint(k).alias("series_id"), k, canonical(k).alias("canonical"), F.map_from_entries(k).alias("labels"))
-    series.orderBy("series_id").write.mode("overwrite").parquet(f"{path}/series")
-    series = spark.read.parquet(f"{path}/series")
-    if check and not series.groupBy("series_id").count().where("count > 1").isEmpty():
-        raise ValueError("label sets share a series id")
-    stored = rows.join(series.select("label_key", "series_id"), "label_key").select("series_id", "ts_ms", "value", (F.col("ts_ms") - F.col("ts_ms") % BLOCK_MS).alias("block_start"))
-    stored.repartitionByRange("block_start", "series_id").sortWithinPartitions("block_start", "series_id", "ts_ms").write.mode("overwrite").partitionBy("block_start").option("compression", "zstd").parquet(f"{path}/samples")
-    out = meta.asDict()
-    spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    out = {**meta.asDict(), **(more or {})}
+    spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(where["meta"])
     return out
 
 
+_SAMPLES = "series_id long, ts_ms long, value double, block_start long"
+#: Ids up to which matched series are sent to the scan as a filter.
+MAX_IDS = 1000
+
+
+def _chunks(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("series_id", "block_start").agg(F.min("ts_ms").alias("min_ts"), F.max("ts_ms").alias("max_ts"), F.count("*").alias("sample_count"), F.count_distinct("ts_ms").alias("distinct_times"))
+
+
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     schema = "id string, min_ts long, max_ts long, series_count long, sample_count long"
     return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/meta")
@@ -81,8 +100,46 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/series")
 
 
-def read_block(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a block with labels.  A time range on it prunes partitions and row groups (see ``time_range``)."""
-    schema = "series_id long, ts_ms long, value double, block_start long"
-    samples = spark.read.schema(schema).parquet(f"{path}/samples")
-    return samples.join(read_series(spark, path).select("series_id", "label_key", "labels"), "series_id")
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """series_id, block_start, min_ts, max_ts, sample_count: what the block says of each series' chunk of a window."""
+    return spark.read.parquet(f"{path}/chunks").drop("distinct_times")
+
+
+def entry(spark: SparkSession, path: str, series_id: int) -> DataFrame:
+    """Labels and chunks of one series; no row for an unknown id."""
+    chunks = read_chunks(spark, path).where(F.col("series_id") == series_id)
+    return read_series(spark, path).where(F.col("series_id") == series_id).join(chunks, "series_id").select("series_id", "canonical", "min_ts", "max_ts", "sample_count").orderBy("min_ts")
+
+
+def check_chunks(spark: SparkSession, path: str) -> None:
+    """Raise where chunks and stored samples disagree."""
+    own = _chunks(spark.read.schema(_SAMPLES).parquet(f"{path}/samples")).drop("distinct_times")
+    said = read_chunks(spark, path)
+    if not own.exceptAll(said.select(own.columns)).isEmpty() or not said.select(own.columns).exceptAll(own).isEmpty():
+        raise ValueError("chunk data do not match the samples")
+
+
+def read_block(spark: SparkSession, path: str, matchers: Iterable[Matcher] = (), start: int | None = None, end: int | None = None, parts: int = 0) -> DataFrame:
+    """Samples of a block with labels.
+
+    Matchers and a time range are resolved on series and chunks first: up to
+    ``MAX_IDS`` ids of series that have a chunk in the range become a filter of the scan, which
+    row groups sorted by id are pruned by; more are joined.  parts: how many blocks
+    lie under the path, each a partition ``block``.
+    """
+    schema = _SAMPLES + (", block int" if parts else "")
+    samples, series, chunks = spark.read.schema(schema).parquet(f"{path}/samples"), read_series(spark, path), read_chunks(spark, path)
+    if parts:
+        samples, series, chunks = (df.where(F.col("block") < parts) for df in (samples, series, chunks))
+    matchers = list(matchers)
+    if matchers:
+        series = filter_series(series, matchers)
+    if start is not None:
+        samples = time_range(samples, start, end)
+        series = series.join(prune_chunks(chunks, start, end).select("series_id", *(["block"] if parts else [])).distinct(), ["series_id", *(["block"] if parts else [])], "left_semi")
+    if matchers or start is not None:
+        ids = [r[0] for r in series.select("series_id").distinct().limit(MAX_IDS + 1).collect()]
+        if len(ids) <= MAX_IDS:
+            samples = samples.where(F.col("series_id").isin(ids)) if ids else samples.where(F.lit(False))
+    keys = ["series_id", *(["block"] if parts else [])]
+    return samples.join(series.select(*keys, "label_key", "labels"), keys)

@@ -8,11 +8,16 @@ of repeated labels the last counts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.functions.labels import NAME_LABEL, label_key
 
+#: A key with the white space around it, and a value in quotes.
+_KEY, _VALUE = r"\s*[^=,\s][^=,]*", r'"[^,\n]*"'
+
 
 def _last_of_each(entries: Column) -> Column:
     """Entries of an array of (key, value) without those that a later one of the same key overrides."""
@@ -38,29 +43,32 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     close = F.length(head) - F.instr(F.reverse(head), "}") + 1
     closed = (F.instr(head, "}") > 0) & (close > open_at)
     inner = F.when((open_at > 0) & closed, F.expr("substring(_head, instr(_head, '{') + 1, length(_head) - instr(reverse(_head), '}') - instr(_head, '{'))"))
-    df = df.withColumn("_inner", inner)
-    df = df.withColumn("_pieces", F.when(F.col("_inner").isNull() | (F.trim("_inner") == ""), F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("_inner", ",+$", ""), ",")))
-    good = F.forall("_pieces", lambda p: p.rlike(r'(?s)\A[^=]*="[^\n]*"\z') & (F.length(F.trim(F.substring_index(p, "=", 1))) > 0) & (F.length(p) - F.instr(p, "=") >= 2))
+    df = df.withColumn("_inner", F.coalesce(F.regexp_replace(inner, ",+$", ""), F.lit("")))
     metric = F.when(open_at > 0, F.substring_index(head, "{", 1)).otherwise(head)
-    pairs = F.transform("_pieces", lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_extract(p, r'(?s)\A[^=]*="(.*)"\z', 1).alias("value")))
-    entries = F.concat(F.array(F.struct(F.lit(NAME_LABEL).alias("key"), metric.alias("value"))), pairs)
+    # each piece between commas is a key that is not blank, =, and a value in quotes
+    good = F.col("_inner").rlike(rf"\A(?:{_KEY}={_VALUE}(?:,(?!\z)|\z))*\z") | (F.trim("_inner") == "")
+    keys = F.regexp_extract_all("_inner", F.lit(rf"(?:\A|,)\s*({_KEY[3:]}?)\s*=\""), F.lit(1))
+    values = F.regexp_extract_all("_inner", F.lit(rf"(?:\A|,){_KEY}=\"([^,\n]*)\"(?=,|\z)"), F.lit(1))
+    df = df.withColumn("_keys", F.array_insert(keys, 1, F.lit(NAME_LABEL))).withColumn("_values", F.array_insert(values, 1, metric))
     ts = F.expr("try_cast(_parts[1] as bigint)")
     value = F.expr("try_cast(trim(_parts[2]) as double)")
     df = df.withColumn("ts_ms", F.when(F.size(parts) == 3, ts)).withColumn("value", F.when(F.size(parts) == 3, value))
     error = (
-        F.when(F.size(parts) < 3, "missing field").when((open_at > 0) & ~closed, "unclosed labels").when(~good, "bad label")
+        F.when(F.size(parts) < 3, "missing field").when(metric == "", "empty metric").when((open_at > 0) & ~closed, "unclosed labels").when(~good, "bad label")
         .when(F.col("ts_ms").isNull(), "bad time").when(F.col("value").isNull(), "bad value")
     )
     df = df.withColumn("error", error)
     if strict:
         df = df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("error"), F.lit(": "), text)).cast("string")))
-    df = df.withColumn("labels", F.when(F.col("error").isNull(), F.map_from_entries(_last_of_each(entries))))
-    return df.drop("_line", "_head", "_parts", "_inner", "_pieces")
+    once = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    labels = F.when(once, F.map_from_arrays("_keys", "_values")).otherwise(F.map_from_entries(_last_of_each(F.arrays_zip(F.col("_keys").alias("key"), F.col("_values").alias("value")))))
+    df = df.withColumn("labels", F.when(F.col("error").isNull(), labels))
+    return df.drop("_line", "_head", "_parts", "_inner", "_keys", "_values")
 
 
 def parse_body(spark: SparkSession, body: str, strict: bool = True) -> DataFrame:
     """Samples of one request body, numbered by line (seq); any bad line fails it all."""
-    rows = [(i, x) for i, x in enumerate(body.splitlines())]
+    rows = [(i, x) for i, x in enumerate(re.split("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", body))]
     return parse_lines(spark.createDataFrame(rows, "seq long, line string"), strict)
 
 

@@ -8,60 +8,69 @@ runs again after a failure overwrites its own and reads those of smaller numbers
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from seriesforge.functions.labels import label_key
-from seriesforge.operators.ingestion import tenant_gate
+from seriesforge.operators.ingestion import monotonic, tenant_gate
 from seriesforge.sources.exposition import parse_lines
+from seriesforge.sources.log import Log
 
 _KEY = "array<struct<key:string,value:string>>"
 
 
 class Ingest:
-    """The tables of one ingestion under ``path``: samples, series (admitted) and last (latest times)."""
-
-    def __init__(self, spark: SparkSession, path: str, budget: int, budgets: DataFrame | None = None):
-        self.spark, self.path, self.budget, self.budgets = spark, path.rstrip("/"), budget, budgets
-
-    def _table(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{name}")
-        return (df if before is None else df.where(F.col("batch") < before)).drop("batch")
+    """The tables of one ingestion under ``path``: samples, rejected lines, and the state (admitted series, latest times)."""
+
+    def __init__(self, spark: SparkSession, path: str, budget: int, budgets: DataFrame | None = None, merge_after: int = 16):
+        self.spark, self.path, self.budget, self.budgets, self.merge_after = spark, path.rstrip("/"), budget, budgets, merge_after
+        self._logs = {
+            name: Log(spark, f"{self.path}/{name}", schema)
+            for name, schema in (
+                ("samples", "tenant string, labels map<string,string>, ts_ms long, value double"), ("series", f"tenant string, label_key {_KEY}"),
+                ("last", f"label_key {_KEY}, last_ts long"), ("rejected", "tenant string, line string, error string"),
+            )
+        }
 
     def samples(self, before: int | None = None) -> DataFrame:
-        return self._table("samples", "tenant string, labels map<string,string>, ts_ms long, value double", before)
+        return self._logs["samples"].read(before)
 
     def series(self, before: int | None = None) -> DataFrame:
-        return self._table("series", f"tenant string, label_key {_KEY}", before)
+        return self._logs["series"].read(before)
 
-    def last_times(self, before: int | None = None) -> DataFrame:
-        return self._table("last", f"label_key {_KEY}, last_ts long", before).groupBy("label_key").agg(F.max("last_ts").alias("last_ts"))
+    def rejected(self, before: int | None = None) -> DataFrame:
+        return self._logs["rejected"].read(before)
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+    def last_times(self, before: int | None = None) -> DataFrame:
+        return self._logs["last"].read(before).groupBy("label_key").agg(F.max("last_ts").alias("last_ts"))
 
     def ingest_batch(self, lines: DataFrame, batch: int) -> None:
-        """One batch of ``lines(seq, tenant, line)``; bad lines go to the rejected table."""
+        """One batch of ``lines(seq, tenant, line)``; bad lines go to the rejected table.
+
+        The batch is parsed and checked once; the state before it is read from its last
+        full form on, and written as a full one every ``merge_after`` batches.
+        """
         parsed = parse_lines(lines).withColumn("label_key", label_key(F.col("labels")))
-        good = parsed.where("error is null")
-        gated = tenant_gate(good, self.budgets, self.budget, known=self.series(batch))
-        order = Window.partitionBy("label_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        joined = gated.where("admitted").join(self.last_times(batch), "label_key", "left")
-        top = F.greatest(F.max("ts_ms").over(order), F.col("last_ts"))
-        accepted = joined.withColumn("_top", top).where("ts_ms >= 0 and (_top is null or ts_ms > _top)")
-        self._write(accepted.select("tenant", "labels", "ts_ms", "value"), "samples", batch)
-        new = gated.where("admitted").select("tenant", "label_key").distinct()
-        old = self.series(batch)
-        self._write(new.join(old, ["tenant", "label_key"], "left_anti") if not old.isEmpty() else new, "series", batch)
-        self._write(accepted.groupBy("label_key").agg(F.max("ts_ms").alias("last_ts")), "last", batch)
-        refused = gated.where("not admitted").select("tenant", "line", F.lit("series budget").alias("error"))
-        self._write(parsed.where("error is not null").select("tenant", "line", "error").unionByName(refused), "rejected", batch)
+        old, before = self.series(batch), self.last_times(batch)
+        gated = tenant_gate(parsed.where("error is null"), self.budgets, self.budget, known=old)
+        earlier = before.select("label_key", F.col("last_ts").alias("ts_ms"), F.lit(-(1 << 62)).alias("seq"))
+        checked = monotonic(gated.where("admitted").unionByName(earlier, allowMissingColumns=True)).where("tenant is not null")
+        columns = ["tenant", "line", "labels", "label_key", "ts_ms", "value", "error", "admitted", "accepted"]
+        left = gated.where("not admitted").unionByName(parsed.where("error is not null"), allowMissingColumns=True)
+        every = checked.unionByName(left, allowMissingColumns=True).select(columns).persist()
+        try:
+            accepted = every.where("accepted")
+            self._logs["samples"].write(batch, accepted.select("tenant", "labels", "ts_ms", "value"))
+            new = every.where("admitted").select("tenant", "label_key").distinct().join(old, ["tenant", "label_key"], "left_anti")
+            times = accepted.groupBy("label_key").agg(F.max("ts_ms").alias("last_ts"))
+            full = self._logs["series"].deltas(batch) >= self.merge_after
+            self._logs["series"].write(batch, old.unionByName(new) if full else new, full)
+            self._logs["last"].write(batch, before.unionByName(times).groupBy("label_key").agg(F.max("last_ts").alias("last_ts")) if full else times, full)
+            refused = every.where("accepted is null").select("tenant", "line", F.coalesce("error", F.lit("series budget")).alias("error"))
+            self._logs["rejected"].write(batch, refused)
+        finally:
+            every.unpersist()
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Ingest a streaming ``lines(seq, tenant, line)``."""

@@ -271,6 +271,79 @@ def test_node(spark, tmp_path):
     assert node.ingest('m{service="checkout"} 20000 1', strict=False) == 0
 
 
+def _samples(spark, rows):
+    return spark.createDataFrame(rows, "seq long, labels map<string,string>, ts_ms long, value double")
+
+
+def test_node_opened_again(spark, tmp_path):
+    path, a, b = f"{tmp_path}/n", {"__name__": "m", "s": "a"}, {"__name__": "m", "s": "b"}
+    first = Node(spark, path, budget=2)
+    first.append(_samples(spark, [(0, a, 10, 1.0), (1, a, 20, 2.0)]))
+    first.flush()
+    first.append(_samples(spark, [(0, a, 30, 3.0)]))
+    first.close()
+    with pytest.raises(ValueError, match="closed"):
+        first.flush()
+    second = Node(spark, path, budget=2)
+    assert second.read_all(a).count() == 3 and second.range([], 0, 99).count() == 2
+    with pytest.raises(ValueError, match="rise"):
+        second.append(_samples(spark, [(0, b, 1, 1.0), (1, a, 30, 9.0), (2, a, 40, 9.0)]))
+    # what stood before the failing sample is kept, what follows is not
+    assert second.read_all(b).count() == 1 and second.read_all(a).count() == 3
+    with pytest.raises(ingestion.CardinalityLimitExceeded):
+        second.get_or_create({"__name__": "m", "s": "c"})
+    own = second.get_or_create(a)
+    assert own == second.get_or_create(dict(reversed(a.items()))) and second.series_count() == 2
+    rows = spark.createDataFrame([(0, own, 50, 5.0)], "seq long, series_id long, ts_ms long, value double")
+    assert second.append_by_id(rows) == 1 and [r.ts_ms for r in second.read_id(own, 25).collect()] == [30, 50]
+    with pytest.raises(KeyError):
+        second.append_by_id(rows.withColumn("series_id", F.lit(12345)))
+    assert second.read_id(12345).count() == 0
+    second.flush()
+    third = Node(spark, path)
+    assert [m["sample_count"] for m in third.metas] == [2, 3] and third.range([], 0, 99).count() == 5
+    assert third.compact("horizontal")["sample_count"] == 5
+    for i in range(18):
+        third.append(_samples(spark, [(0, a, 100 + i, 0.0)]))
+    assert third._series.deltas(third._next) < 18 and third.series_count() == 2 and Node(spark, path).latest().count() == 2
+
+
+def test_blocks_are_pruned_and_checked(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    rows = [({"s": x}, i * 3_600_000, 1.0) for x in "abcd" for i in range(24)]
+    blocks.write_block(frame(spark, rows), path)
+    df = blocks.read_block(spark, path, [eq("s", "b")], 7_200_000, 14_399_999)
+    plan = df._jdf.queryExecution().toString()
+    assert "EqualTo(series_id," in plan and "block_start" in plan and df.count() == 2
+    assert blocks.read_block(spark, path, [eq("s", "x")], 0, 99).count() == 0
+    blocks.check_chunks(spark, path)
+    own = blocks.read_series(spark, path).first().series_id
+    assert blocks.entry(spark, path, own).count() == 12 and blocks.entry(spark, path, 1).count() == 0
+    blocks.read_chunks(spark, path).withColumn("distinct_times", F.col("sample_count")).withColumn("max_ts", F.col("max_ts") + 1).write.parquet(f"{path}2/chunks")
+    spark.read.parquet(f"{path}/samples").write.partitionBy("block_start").parquet(f"{path}2/samples")
+    with pytest.raises(ValueError, match="chunk"):
+        blocks.check_chunks(spark, f"{path}2")
+    with pytest.raises(ValueError, match="mode"):
+        compaction.to_block([], path, "x")
+
+
+def test_posting_ids(spark):
+    assert index.posting_ids(spark, [-5, 1, 7]).count() == 3
+    for bad in ([5, 5], [5, 4]):
+        with pytest.raises(ValueError, match="rise"):
+            index.posting_ids(spark, bad)
+
+
+def test_long_series_are_cut_into_stretches(spark):
+    rows = [(i, "t", "ab"[i % 2], (i * 7919) % 101) for i in range(400)]
+    df = _arrivals(spark, rows)
+    top, want = {}, {}
+    for i, _, s, t in rows:
+        want[i] = t > top.get(s, -1)
+        top[s] = max(t, top.get(s, -1))
+    assert {r.seq: r.accepted for r in ingestion.monotonic(df, stretch=16).collect()} == want
+
+
 def test_streaming_restart(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
