@@ -178,7 +178,7 @@ class Runs:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's anchors: where (by token), hash, and hash of the tokens around."""
+    """Each row's anchors: hash, hash of the tokens around, and where both stand (by token)."""
     for batch in batches:
         ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
         for a, _, data, off in _text.blocks(batch.column("text")):
@@ -187,9 +187,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = x.row[at]
             low, high = np.maximum(x.first[row], at - _REACH), np.minimum(x.first[row + 1], at + PASSAGE)
             around = _text.mix(x.hashes(low, high) + ((at - low) << 8 | (high - at)).astype(np.uint64))
-            yield pa.record_batch({
-                "doc_id": ids[a + row], "key": keys[a + row], "place": (at - x.first[row]).astype(np.int32), "anchor": anchor.view(np.int64), "around": around.view(np.int64)
-            })
+            # a text that repeats itself has the same surroundings at many places
+            order = np.lexsort((at, around, row))
+            at, row, anchor, around = at[order], row[order], anchor[order], around[order].view(np.int64)
+            fresh = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(around, prepend=0) != 0))
+            places = pa.ListArray.from_arrays(np.append(fresh, len(at)).astype(np.int32), (at - x.first[row]).astype(np.int32))
+            row = a + row[fresh]
+            yield pa.record_batch({"doc_id": ids[row], "key": keys[row], "places": places, "anchor": anchor[fresh].view(np.int64), "around": around[fresh]})
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +311,7 @@ def _line_drops(scratch: Scratch, docs: DataFrame, min_docs: int) -> DataFrame:
 
 def _passage_drops(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """``(doc_id, key, _spans)``: tokens that go, by place."""
-    rows = scratch.keep("anchors", docs.mapInArrow(_anchors, "doc_id long, key long, place int, anchor long, around long"), TEXTS)
+    rows = scratch.keep("anchors", docs.mapInArrow(_anchors, "doc_id long, key long, places array<int>, anchor long, around long"), TEXTS)
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = scratch.keep("shared", shared)
     some = F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared
@@ -316,14 +320,15 @@ def _passage_drops(scratch: Scratch, docs: DataFrame) -> DataFrame:
     kinds = scratch.keep("kinds", known.groupBy("anchor", "around").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")))
     # tokens around an anchor that a smaller document has alike
     alike = known.join(kinds.where("rep < high").select("anchor", "around", "rep"), ["anchor", "around"]).where("doc_id <> rep")
-    alike = alike.select("doc_id", "key", (F.col("place") - _REACH).alias("start"), (F.col("place") + PASSAGE).alias("end"))
+    alike = alike.select("doc_id", "key", F.transform("places", lambda p: F.struct((p - _REACH).alias("start"), (p + PASSAGE).alias("end"))).alias("spans"))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     open_ = known.join(kinds.select("anchor", "around", "rep"), ["anchor", "around"]).where("doc_id = rep").join(several, "anchor")
-    open_ = scratch.keep("open", open_.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places")))
+    open_ = scratch.keep("open", open_.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
     runs = scratch.keep("runs", _of_some(docs, open_).mapInArrow(_runs, "doc_id long, key long, place int, run long"), TEXTS)
     owned = runs.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("run", "owner")
-    partly = runs.join(owned, "run").where("doc_id <> owner").select("doc_id", "key", F.col("place").alias("start"), (F.col("place") + PASSAGE).alias("end"))
-    drops = alike.unionByName(partly).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    partly = runs.join(owned, "run").where("doc_id <> owner")
+    partly = partly.select("doc_id", "key", F.array(F.struct(F.col("place").alias("start"), (F.col("place") + PASSAGE).alias("end"))).alias("spans"))
+    drops = alike.unionByName(partly).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     drops = scratch.keep("spans", drops)
     scratch.drop("known", "kinds", "open", "runs")
     return drops
