@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-``TREES`` trees are grown on a bounded sample; every distinct vector is then
-indexed, once in each tree.  A query descends all trees through one priority
-queue: a node's priority is the least signed margin on the way to it, over all
-trees, and the leaves of highest priority are read until ``SHARE`` of all leaves
-are.  (Priorities never rise on the way down, so these are the leaves of highest
-priority over the whole forest.)  Candidates of these leaves are reranked by exact
-distances.  Equal vectors are one entry with their smallest ids, as many as a
-result can hold, so a vector that fills a third of the table costs one entry.
+``TREES`` trees are grown on a bounded sample, deep enough for about ``LEAF``
+distinct vectors a leaf; every distinct vector is then indexed, once in each tree.  A query descends
+all trees through one priority queue: a node's priority falls by the square of each
+margin by which the query misses it, and the leaves of highest priority over the whole forest are
+read, ``SHARE`` of all leaves and ``FLOOR`` for each tree at least.  (Priorities never
+rise on the way down, so these are the leaves that the queue would give first.)
+Candidates of these leaves are reranked by exact distances.  Rows and queries meet by
+subtree, of about ``BLOCK`` rows, so work is dealt out evenly and a query is sent
+once for each subtree that holds leaves for it.  Equal vectors are one entry with their smallest ids, as
+many as a result can hold, so a vector that fills a third of the table costs one entry.
 """
 
 from __future__ import annotations
@@ -23,17 +25,15 @@ from pyspark.sql import functions as F
 
 from seriesforge.llm._spark import Scratch, ship_package
 
-TREES = 6
+TREES = 24
 #: Bound of the sample that trees are grown on.
-SAMPLE = 8192
-#: Depth: about LEAF distinct vectors a leaf, MOST_DEPTH at most.
-LEAF, MOST_DEPTH = 40, 7
-#: Share of the forest's leaves that a query reads.
-SHARE = 0.3
-#: Entries for each result wanted that a query reads at least: a small table is read whole.
-LEAST_READ = 64
-#: Entries of a leaf that one task compares at once.
-BLOCK = 4096
+SAMPLE = 32_768
+#: Distinct vectors of a leaf, and the greatest depth, which the sample allows.
+LEAF, MOST_DEPTH = 16, 12
+#: Share of the forest's leaves that a query reads, and leaves for each tree that it reads at least.
+SHARE, FLOOR = 0.013, 4
+#: Rows of a subtree that one task compares at once, and pairs that are compared together.
+BLOCK, PAIRS = 4096, 20_000
 
 
 def grow(sample: np.ndarray, trees: int, depth: int, seed: int = 0) -> list[list[tuple[np.ndarray, np.ndarray]]]:
@@ -69,11 +69,11 @@ def grow(sample: np.ndarray, trees: int, depth: int, seed: int = 0) -> list[list
 
 
 def priorities(tree, x: np.ndarray) -> np.ndarray:
-    """Priority of each leaf for each vector: the least signed margin on the way to it."""
-    best = np.full((len(x), 1), np.inf)
+    """Priority of each leaf for each vector: less the squares of the margins by which it misses the way there."""
+    best = np.zeros((len(x), 1))
     for directions, cuts in tree:
         margin = x @ directions.T - cuts
-        best = np.stack([np.minimum(best, -margin), np.minimum(best, margin)], 2).reshape(len(x), -1)
+        best = np.stack([best - np.maximum(margin, 0) ** 2, best - np.minimum(margin, 0) ** 2], 2).reshape(len(x), -1)
     return best
 
 
@@ -113,51 +113,79 @@ def _entries(batches: Iterator[pa.RecordBatch], names, size: int, most: int) ->
         yield pa.record_batch({"vec": pa.array([k for k, _ in part], pa.binary()), "ids": pa.array([sorted(-i for i in v) for _, v in part], pa.list_(pa.int64()))})
 
 
-def _assign(batches: Iterator[pa.RecordBatch], forest, salts: int) -> Iterator[pa.RecordBatch]:
+def _packed(x: np.ndarray) -> bytes:
+    """A vector in single precision where that loses nothing."""
+    y = x.astype("<f4")
+    return y.tobytes() if (y == x).all() else x.tobytes()
+
+
+def _unpacked(column, size: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * size else "<f8").astype(np.float64) for v in column.to_pylist()]) if len(column) else np.zeros((0, size))
+
+
+def _assign(batches: Iterator[pa.RecordBatch], forest, sub: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.stack([np.frombuffer(v, "<f8") for v in batch.column("vec").to_pylist()]) if batch.num_rows else None
-        if x is None:
+        if not batch.num_rows:
             continue
-        salt = (np.abs(x.view(np.int64).sum(1)) % salts).astype(np.int32)
+        x = np.stack([np.frombuffer(v, "<f8") for v in batch.column("vec").to_pylist()])
+        vec = pa.array([_packed(v) for v in x], pa.binary())
         for t, tree in enumerate(forest.value):
-            yield pa.record_batch({"tree": np.full(len(x), t, np.int32), "leaf": leaves(tree, x).astype(np.int32), "salt": salt, "vec": batch.column("vec"), "ids": batch.column("ids")})
+            leaf = leaves(tree, x)
+            yield pa.record_batch({"tree": np.full(len(x), t, np.int32), "sub": (leaf >> len(tree) - sub).astype(np.int32), "leaf": leaf.astype(np.int32), "vec": vec, "ids": batch.column("ids")})
 
 
-def _route(batches: Iterator[pa.RecordBatch], names, size: int, forest, salts: int, share: float) -> Iterator[pa.RecordBatch]:
+def chosen_leaves(trees, x: np.ndarray, share: float) -> np.ndarray:
+    """The leaves that each vector reads, numbered over the whole forest."""
+    count = len(trees) * 2 ** len(trees[0])
+    reads = min(count, max(FLOOR * len(trees), math.ceil(share * count)))
+    rank = np.concatenate([priorities(tree, x) for tree in trees], 1)
+    return np.argpartition(-rank, reads - 1, 1)[:, :reads] if reads < count else np.tile(np.arange(count), (len(x), 1))
+
+
+def _route(batches: Iterator[pa.RecordBatch], names, size: int, forest, sub: int, share: float) -> Iterator[pa.RecordBatch]:
     trees = forest.value
-    count = 2 ** len(trees[0])
-    reads = min(len(trees) * count, max(1, math.ceil(share * len(trees) * count)))
+    depth = len(trees[0])
     for batch in batches:
         found = list(_vectors(batch, names, size))
         for a in range(0, len(found), 64):
             part = found[a : a + 64]
-            x = np.stack([v for _, v in part])
-            rank = np.concatenate([priorities(tree, x) for tree in trees], 1)
-            chosen = np.argsort(-rank, 1, kind="stable")[:, :reads]
-            for (i, v), leaf in zip(part, chosen, strict=True):
-                leaf = np.repeat(leaf, salts)
-                n = len(leaf)
+            for (i, v), leaf in zip(part, chosen_leaves(trees, np.stack([v for _, v in part]), share), strict=True):
+                leaf = np.sort(leaf)
+                # subtrees of all trees are numbered on
+                group, first = np.unique(leaf >> depth - sub, return_index=True)
+                each = [x.astype(np.int32) for x in np.split(leaf & 2**depth - 1, first[1:])]
                 yield pa.record_batch({
-                    "tree": (leaf // count).astype(np.int32), "leaf": (leaf % count).astype(np.int32), "salt": np.tile(np.arange(salts, dtype=np.int32), n // salts),
-                    "query_id": np.full(n, i, np.int64), "q": pa.array([v.tobytes()] * n, pa.binary()),
+                    "tree": (group >> sub).astype(np.int32), "sub": (group & 2**sub - 1).astype(np.int32), "query_id": np.full(len(group), i, np.int64),
+                    "q": pa.array([_packed(v)] * len(group), pa.binary()), "leaves": pa.array(each, pa.list_(pa.int32())),
                 })
 
 
-def _rerank(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k nearest of one block for each of its queries, by exact distances, ties to smaller ids."""
-    out_q, out_v, out_d = [], [], []
-    if rows.num_rows and queries.num_rows:
-        x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), "<f8").reshape(rows.num_rows, -1)
-        ids = rows.column("ids").to_pylist()
-        for i, q in zip(queries.column("query_id").to_pylist(), queries.column("q").to_pylist(), strict=True):
-            d = np.sqrt(((x - np.frombuffer(q, "<f8")) ** 2).sum(1))
-            # one more than k: the query itself may be among them
-            near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-            best = heapq.nsmallest(k, ((float(d[j]), v) for j in near.tolist() for v in ids[j] if v != i))
-            out_q += [i] * len(best)
-            out_v += [v for _, v in best]
-            out_d += [s for s, _ in best]
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_d, pa.float64())})
+def _rerank(rows: pa.Table, queries: pa.Table, k: int, size: int) -> pa.Table:
+    """The k nearest of one subtree for each of its queries, among the leaves it reads: exact distances, ties to smaller ids."""
+    none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    if not rows.num_rows or not queries.num_rows:
+        return none
+    order = np.argsort(rows.column("leaf").to_numpy(), kind="stable")
+    leaf = rows.column("leaf").to_numpy()[order]
+    x, q = _unpacked(rows.column("vec"), size)[order], _unpacked(queries.column("q"), size)
+    ids = rows.column("ids").to_pylist()
+    ids = [ids[i] for i in order.tolist()]
+    query_id = queries.column("query_id").to_pylist()
+    out: list[tuple[int, int, float]] = []
+    for j, own in enumerate(queries.column("leaves").to_pylist()):
+        low, high = np.searchsorted(leaf, own), np.searchsorted(leaf, own, "right")
+        at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+        if not len(at):
+            continue
+        d = np.concatenate([np.sqrt(((x[at[a : a + PAIRS]] - q[j]) ** 2).sum(1)) for a in range(0, len(at), PAIRS)])
+        # one more than k: the query itself may be among them
+        near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
+        best = heapq.nsmallest(k, ((float(d[n]), v) for n in near.tolist() for v in ids[at[n]] if v != query_id[j]))
+        out += [(query_id[j], v, s) for s, v in best]
+    if not out:
+        return none
+    a, b, c = zip(*out, strict=True)
+    return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_name: str = "vec_id", vec_name: str = "embedding", share: float = SHARE) -> DataFrame:
@@ -184,13 +212,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_name: str =
         return empty
     sample = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow().column("vec").to_pylist()
     depth = min(MOST_DEPTH, max(1, math.ceil(math.log2(max(2, n / LEAF)))))
-    share = max(share, LEAST_READ * k / n)
+    sub = min(depth, max(0, math.ceil(math.log2(n / BLOCK))))
     forest = spark.sparkContext.broadcast(grow(np.stack([np.frombuffer(v, "<f8") for v in sample]), TREES, depth))
-    salts = max(1, math.ceil(n / 2**depth / BLOCK))
-    rows = entries.mapInArrow(lambda it: _assign(it, forest, salts), "tree int, leaf int, salt int, vec binary, ids array<long>")
-    routed = queries.select(*names).mapInArrow(lambda it: _route(it, names, size, forest, salts, share), "tree int, leaf int, salt int, query_id long, q binary")
-    keys = ["tree", "leaf", "salt"]
-    found = rows.groupBy(keys).cogroup(routed.groupBy(keys)).applyInArrow(lambda a, b: _rerank(a, b, k), "query_id long, vec_id long, score double")
+    rows = entries.mapInArrow(lambda it: _assign(it, forest, sub), "tree int, sub int, leaf int, vec binary, ids array<long>")
+    routed = queries.select(*names).mapInArrow(lambda it: _route(it, names, size, forest, sub, share), "tree int, sub int, query_id long, q binary, leaves array<int>")
+    keys = ["tree", "sub"]
+    found = rows.groupBy(keys).cogroup(routed.groupBy(keys)).applyInArrow(lambda a, b: _rerank(a, b, k, size), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

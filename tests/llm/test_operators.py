@@ -445,6 +445,28 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0 and neighbours.nearest(df.where("vec_id = 700"), df).count() == 0
 
 
+def test_forest_reads_a_small_share():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    trees = neighbours.grow(x[: neighbours.SAMPLE], neighbours.TREES, 11)
+    q = x[::250]
+    count, hits, read, compared = 2**11, 0, 0, 0
+    place = np.stack([neighbours.leaves(tree, x) + t * count for t, tree in enumerate(trees)], 1)
+    for k, chosen in enumerate(neighbours.chosen_leaves(trees, q, neighbours.SHARE)):
+        wanted = np.zeros(count * len(trees), bool)
+        wanted[chosen] = True
+        seen = wanted[place]
+        d = ((x - q[k]) ** 2).sum(1)
+        d[k * 250] = np.inf
+        hits += seen[np.argsort(d)[:10]].any(1).sum()
+        read += seen.any(1).mean()
+        compared += seen.sum() / len(x)
+    assert hits >= 0.9 * 10 * len(q), hits / len(q) / 10
+    assert read / len(q) < 0.26 and compared / len(q) < 0.4, (read / len(q), compared / len(q))
+    print("recall", hits / len(q) / 10, "read", read / len(q), "compared", compared / len(q))
+
+
 # licences
 
 
