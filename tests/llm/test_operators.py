@@ -65,13 +65,23 @@ def test_pii_model(spark, odd):
     p = pii._viterbi(pii.emissions(model, x)[0], model["a"])
     found, true = [set(pii._spans(r)) for r in p], [set(pii._spans(r)) for r in y]
     hits = sum(len(a & b) for a, b in zip(found, true, strict=True))
-    assert hits / sum(map(len, found)) > 0.9 and hits / sum(map(len, true)) > 0.85
+    assert hits / sum(map(len, found)) > 0.93 and hits / sum(map(len, true)) > 0.93
     text = "é call (415) 555-0134 today, or a.b@c.org"
     ((base, added),) = pii.find([text], model)
     assert [text[s:e] for _, s, e in base] == ["a.b@c.org"] and [text[s:e] for k, s, e in added if k == 3] == ["(415) 555-0134"]
+    # forms that the base patterns miss, and what looks like them
+    forms = {
+        "Pay 4465758382889437 4465758382889437 now": ["4465758382889437"] * 2, "call 415 555 0134 today": ["415 555 0134"], "host 10[.]0[.]0[.]1 up": ["10[.]0[.]0[.]1"],
+        "write to averyveryverylongfirstname.andalonglastname [at] example.org please": ["averyveryverylongfirstname.andalonglastname [at] example.org"],
+        "mail joe[at]site[dot]org now": ["joe[at]site[dot]org"],
+        "in 2019 the 1234567890123456 count 12.5 and 3,000,000 at 10:30 on 2020-01-02 v1.2.3": [],
+    }
+    for text, (base, added) in zip(forms, pii.find(list(forms), model), strict=True):
+        assert not base and [text[s:e] for _, s, e in sorted(added, key=lambda x: x[1])] == forms[text]
     rows = pii.pii_spans(odd).collect()
     assert len(rows) == 12 and all(r.spans == "" for r in rows)
     assert pii.pii_spans(odd.limit(0)).count() == 0
+    text = "é call (415) 555-0134 today, or a.b@c.org"
     (r,) = pii.pii_spans(docs(spark, [text])).select("n_email", F.sha2("base", 256).alias("h")).collect()
     assert r.n_email == 1 and r.h == hashlib.sha256(f"email:{text.index('a.b')}:{len(text)}".encode()).hexdigest()
 
