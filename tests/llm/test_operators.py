@@ -384,6 +384,15 @@ def test_markup():
     assert [t for inside, t in got if inside] == ["T", "a", "b c"]
     assert html.blocks("<p>a &lt;b&gt; &#233; &copy;")[0][1] == "a <b> é ©"
     assert html.blocks("<p>" * 20000 + "x")[-1][1] == "x"
+    kept = (
+        '<section aria-label="a hidden gem"><p>body text</p></section>', '<a title="the hidden valley">body text</a>', '<div class="a hidden b">body text</div>', '<div class="post-header">body text</div>',
+        '<p class="form-text">body text</p>', '<div id="search-algorithms">body text</div>', '<p class="ad-hoc">body text</p>', '<div class="related-work">body text</div>', "<p title=don't>body text</p>",
+        '<p class="x>body text', "<p data-style='display:none'>body text</p>",
+    )
+    for page in kept:
+        assert html.blocks(f"<article>{page}</article>" if page.endswith(">") else page)[0][1] == "body text", page
+    for page in ("<div hidden>x</div>", '<div style="display: none">x</div>', '<div class="mainNav">x</div>', "<div id=comment-12>x</div>", '<div class="related-posts">x</div>', '<div aria-hidden="true">x</div>', "<div class='b sidebar-right'>x</div>"):
+        assert html.blocks(f"<article>{page}</article>") == [], page
 
 
 def test_suffix_array_marks_what_pages_share():
