@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesforge.llm._spark import Scratch
+
 LEAST = 0.6
 GATE = "licen[cs]|copyright|copyleft|permission|warrant|rights reserved|redistribut|public domain|released under|spdx"
 FILE_NAME = r"(^|/)(LICENSE|LICENCE|COPYING|NOTICE)(\.[A-Za-z]+)?$"
@@ -46,6 +48,15 @@ TEMPLATES = [
     ("MPL-2.0", "subject to the terms of the Mozilla Public License version 2.0"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("Zlib", "released under the zlib license"),
+    ("AGPL-3.0", "SPDX License Identifier AGPL 3.0"),
+    ("Apache-2.0", "SPDX License Identifier Apache 2.0"),
+    ("BSD-2-Clause", "SPDX License Identifier BSD 2 Clause"),
+    ("BSD-3-Clause", "SPDX License Identifier BSD 3 Clause"),
+    ("GPL-2.0", "SPDX License Identifier GPL 2.0"),
+    ("GPL-3.0", "SPDX License Identifier GPL 3.0"),
+    ("ISC", "SPDX License Identifier ISC"),
+    ("MIT", "SPDX License Identifier MIT"),
+    ("MPL-2.0", "SPDX License Identifier MPL 2.0"),
 ]
 
 
@@ -79,14 +90,17 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     idf = word.groupBy("word").agg((F.log((1.0 + len(templates)) / (1.0 + F.count_distinct("t"))) + 1.0).alias("idf"))
     tw, tn = _vectors(t, ["t"], "notice", idf)
     known = tw.join(tn, "t").join(t.select("t", "name"), "t").select("word", "t", "name", (F.col("w") / F.col("norm")).alias("tw"))
+    scratch = Scratch(spark, "licenses")
+    # few lines are headers: once written, texts are not read for them again
     headers = files.select("_row", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(GATE)))).alias("line")).distinct()
+    headers = scratch.keep("headers", headers)
     hw, hn = _vectors(headers, ["_row", "line"], "line", idf)
     cosine = (
         hw.join(F.broadcast(known), "word").groupBy("_row", "line", "t", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
         .join(hn, ["_row", "line"]).select("_row", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     )
     own = cosine.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("m"), "name")).alias("best")).select("_row", F.col("best.name").alias("own_license"), (-F.col("best.m")).alias("own_score"))
-    files = files.drop("text").join(own, "_row", "left")
+    files = scratch.keep("files", files.drop("text").join(own, "_row", "left"))
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     speaking = (
         files.where(F.col("own_license").isNotNull() & F.col("path").rlike(FILE_NAME))
@@ -96,11 +110,15 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     # each path without a licence and the directories above it, from the root ''
     bare = files.where(F.col("own_license").isNull() & F.col("path").isNotNull()).select("path").distinct()
     above = bare.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("depth", "license_dir"))
+    # every path lies below the root, whose licence is one row and joined apart
+    root = F.broadcast(speaking.where("license_dir = ''").select(F.lit("").alias("_root"), F.col("found").alias("_top")))
+    speaking = speaking.where("license_dir <> ''")
     nearest = (
-        above.join(speaking, "license_dir").groupBy("path").agg(F.max(F.struct("depth", "license_dir", "found")).alias("x"))
+        above.where("license_dir <> ''").join(speaking, "license_dir").groupBy("path").agg(F.max(F.struct("depth", "license_dir", "found")).alias("x"))
         .select("path", F.col("x.license_dir").alias("license_dir"), F.col("x.found").alias("found"))
     )
-    out = files.join(nearest, "path", "left")
+    out = files.join(nearest, "path", "left").withColumn("_root", F.when(F.col("path").isNotNull(), F.lit(""))).join(root, "_root", "left")
+    out = out.withColumn("license_dir", F.coalesce("license_dir", F.when(F.col("_top").isNotNull(), F.lit("")))).withColumn("found", F.coalesce("found", "_top"))
     inherits = F.col("own_license").isNull()
     return out.select(
         *[c for c in files.columns if c not in ("_row", *added)], "own_license", "own_score",
