@@ -9,9 +9,9 @@ compared slot by slot: a value of the item must stand for one value of the text.
 A text leaks an item where consistent windows cover ``LEAST_COVERAGE`` of the
 item's tokens, so also when numbers, names or units were exchanged.
 
-Beside the templates stand the tokens as they are, in windows of the same length
-that hold fewer literals: exact copies of items of numbers and names, and of
-items too short for a window, are found by these.  Exact runs of ``LEAST_RUN`` tokens of an
+Beside the templates stand the lower-cased tokens as they are, in windows of the same
+length: exact copies of items of numbers and names, of items too short for a window, and
+copies in capitals or title case, whose words are all name slots, are found by these.  Exact runs of ``LEAST_RUN`` tokens of an
 item leak it whatever share of it they are.
 
 The benchmark is read in blocks of a bounded number of characters, each of which
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seriesforge.llm import _text
 from seriesforge.llm._spark import ship_package
@@ -85,7 +86,8 @@ class Template:
         self.telling = plain[WINDOW:] - plain[:-WINDOW] >= WINDOW // 2 if len(h) >= WINDOW else np.zeros(0, bool)
 
     def same(self, i: int, other: Template, j: int) -> bool:
-        return self.word(i) == other.word(j)
+        """Whether two tokens are alike but for capitals."""
+        return self.plain[i] == other.plain[j]
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -115,23 +117,24 @@ class Index:
             if 0 < e - s < WINDOW:
                 if t.literal[s:e].sum() * 2 >= e - s and e - s >= 4:
                     self.short[e - s][int(_text.windows(t.tokens[s:e], e - s)[0])].append(i)
-                else:
-                    self.exact[e - s][int(_text.windows(t.plain[s:e], e - s)[0])].append((i, 0))
+                self.exact[e - s][int(_text.windows(t.plain[s:e], e - s)[0])].append((i, 0))
                 continue
             for p in range(s, e - WINDOW + 1):
                 if t.telling[p]:
                     self.at[int(t.windows[p])].append((i, p - s))
-                else:
-                    self.exact[WINDOW][int(plain[p])].append((i, p - s))
+                self.exact[WINDOW][int(plain[p])].append((i, p - s))
         self.keys = np.sort(np.array(list(self.at), np.uint64))
         self.exact_keys = {n: np.sort(np.array(list(of), np.uint64)) for n, of in self.exact.items()}
 
-    def exact_hits(self, t: Template) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length: places of t whose window is known as it is, and its hash."""
+    def exact_hits(self, t: Template, known: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length: places of t whose window is known as it is, but not as a template, and its hash."""
         out = {}
         for n, keys in self.exact_keys.items():
             w = _text.windows(t.plain, n)
-            at = np.flatnonzero(~t.telling) if n == WINDOW else np.arange(len(w))
+            other = np.ones(len(w), bool)
+            if n == WINDOW:
+                other[known] = False
+            at = np.flatnonzero(other)
             at = at[_among(w[at], keys)]
             out[n] = at, w[at]
         return out
@@ -195,8 +198,8 @@ def leaks_of(column, index: Index) -> Iterator[list[tuple[object, float, float]]
     """For each text the items it leaks."""
     for a, b, data, off in _text.blocks(column):
         t = Template(data, off)
-        exact = index.exact_hits(t)
         known = np.flatnonzero(_among(t.windows, index.keys) & t.telling) if len(index.keys) else np.zeros(0, np.int64)
+        exact = index.exact_hits(t, known)
         for i in range(b - a):
             s, e = int(t.first[i]), int(t.first[i + 1])
             # a window must not run into the next row
@@ -250,7 +253,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship_package(spark)
     id_type = benchmark.schema["item_id"].dataType
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {id_type.simpleString()}, coverage double, agreement double"
-    arrow = pa.int64() if id_type.simpleString() == "bigint" else pa.int32() if id_type.simpleString() == "int" else pa.string()
+    arrow = to_arrow_type(id_type)
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)

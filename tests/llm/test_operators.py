@@ -180,8 +180,10 @@ def test_decontamination(spark, odd):
         "Alice has 12 apples and buys 7 more pears for the whole family of nine people in Rome",
     ]
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
-    assert got == {(0, 1), (1, 1), (5, 4), (6, 1)}
-    assert sorted(r.doc_id for r in decontaminate.drop_leaking(docs(spark, texts), bench).collect()) == [2, 3, 4, 7]
+    assert got == {(0, 1), (1, 1), (4, 1), (5, 4), (6, 1)}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaking(docs(spark, texts), bench).collect()) == [2, 3, 7]
+    title = decontaminate.find_leaks(docs(spark, [ITEM.title()]), bench.withColumn("item_id", F.col("item_id").cast("decimal(9,1)"))).collect()
+    assert [(r.doc_id, float(r.item_id)) for r in title] == [(0, 1.0)]
     assert decontaminate.find_leaks(odd, bench).count() == 0
     assert decontaminate.find_leaks(odd.limit(0), bench).count() == 0
     assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
@@ -504,6 +506,9 @@ def test_licenses(spark):
     assert by["a/b/x.txt"] == (None, "MIT", "a") and by["a/b/c/y.txt"] == ("Apache-2.0", "Apache-2.0", None) and by["a/b/LICENSE.md"] == (None, "MIT", "a")
     assert by["z/q.txt"] == by["z/r.txt"] == by["ab/x.txt"] == (None, None, None) and by[None] == ("All-Rights-Reserved",) * 2 + (None,)
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+    top = [("LICENSE", "SPDX-License-Identifier: MIT"), ("x.txt", "a"), ("d/e/y.txt", "b"), ("d/COPYING", "// SPDX-License-Identifier: Apache-2.0"), ("d/z.txt", "c"), (None, "d")]
+    by = {r.path: (r.license, r.license_dir) for r in licenses.scan(spark.createDataFrame(top, "path string, text string")).collect()}
+    assert by == {"LICENSE": ("MIT", None), "x.txt": ("MIT", ""), "d/e/y.txt": ("Apache-2.0", "d"), "d/COPYING": ("Apache-2.0", None), "d/z.txt": ("Apache-2.0", "d"), None: (None, None)}
 
 
 # Jaccard join
