@@ -7,6 +7,7 @@ are lower-cased.  All of these are single bytes in UTF-8, so work is on bytes.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Iterator
 
@@ -38,6 +39,19 @@ def trim() -> None:
         return
 
 
+def trims(of):
+    """A task's generator that gives its memory back when it ends."""
+
+    @functools.wraps(of)
+    def run(*args, **named):
+        try:
+            yield from of(*args, **named)
+        finally:
+            trim()
+
+    return run
+
+
 def powers(n: int) -> np.ndarray:
     """The first n powers of the hash base, mod 2**64."""
     global _powers

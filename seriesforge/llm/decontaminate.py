@@ -208,6 +208,7 @@ def leaks_of(column, index: Index) -> Iterator[list[tuple[object, float, float]]
             yield index.leaks(t, s, e, hits, exact) if len(hits) or own or index.short else []
 
 
+@_text.trims
 def _find(batches: Iterator[pa.RecordBatch], shared, id_type) -> Iterator[pa.RecordBatch]:
     index = Index(*shared.value)
     for batch in batches:
@@ -223,6 +224,7 @@ def _find(batches: Iterator[pa.RecordBatch], shared, id_type) -> Iterator[pa.Rec
         )
 
 
+@_text.trims
 def _clean(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     index = Index(*shared.value)
     for batch in batches:

@@ -133,6 +133,7 @@ _MARK_SCHEMA = "kind int, doc_id long, node long, n int, block long, idx int, sp
 _MARKS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("spare", pa.int32()), ("part", pa.int32()), ("tokens", pa.binary()), ("owner", pa.binary())])
 
 
+@_text.trims
 def _marks(batches: Iterator[pa.RecordBatch], w: int, percent: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: a document with its node; at a node's first place in a task also its number in its block, and how many
     tokens that other blocks hold it lacks for a link.  Kind 1: tokens of a block for one part, and the set of each, if one only.
@@ -237,6 +238,7 @@ _SET_SCHEMA = "kind int, block long, node long, n int, bits binary, part int, to
 _SETS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
 
+@_text.trims
 def _sets(batches: Iterator[pa.RecordBatch], w: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: a wanted node's set, by blocks; kind 1: distinct tokens of a block for one part, and how many of its sets hold each."""
     task, blocks, seen = TaskContext.get().partitionId(), 0, set()
@@ -306,6 +308,7 @@ def _signed(sets: pa.Table, counts: pa.Table, percent: int) -> pa.Table:
     return pa.table({"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
 
 
+@_text.trims
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Keep the pairs that the bitmap bound does not rule out."""
     for batch in batches:
@@ -317,6 +320,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
 
 
+@_text.trims
 def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("ta"), batch.column("tb")

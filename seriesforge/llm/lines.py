@@ -108,6 +108,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(first, TEXTS)
 
 
+@_text.trims
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's distinct lines; leaf null: nothing to generalise."""
     for batch in batches:
@@ -122,6 +123,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+@_text.trims
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of the wanted lines of each row."""
     for batch in _slices(batches):
@@ -177,6 +179,7 @@ class Runs:
         return at, g[at]
 
 
+@_text.trims
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's anchors: hash, hash of the tokens around, and where both stand (by token)."""
     for batch in batches:
@@ -196,6 +199,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"doc_id": ids[row], "key": keys[row], "places": places, "anchor": anchor[fresh].view(np.int64), "around": around[fresh]})
 
 
+@_text.trims
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The passages around the wanted anchors of each row."""
     for batch in _slices(batches):
@@ -231,6 +235,7 @@ def _without(text: bytes, begin: list[int], gone: list[bool], starts: np.ndarray
     return b"\n".join(out).decode(), lost
 
 
+@_text.trims
 def _apply(batches: Iterator[pa.RecordBatch], leave: float) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         texts, total, dropped, cuts = [], [], [], []

@@ -35,7 +35,7 @@ from seriesforge.llm._spark import ship_package
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words whose lattices a task keeps.
-WORDS_HELD = 150_000
+WORDS_HELD = 100_000
 #: Characters of texts, words, and characters of new words, that are handled together.
 CHUNK, FLAT, SLICE = 400_000, 100_000, 100_000
 #: Words of more characters are cut first, where no piece stands across.
@@ -397,6 +397,7 @@ def decode_tokens(pieces: Pieces, tokens: bytes | None) -> str | None:
     return pieces.flat[at].tobytes()[1:].decode("utf-8", "surrogatepass")
 
 
+@_text.trims
 def _encode(batches: Iterator[pa.RecordBatch], key: str, model: str, theta: float, seed: int) -> Iterator[pa.RecordBatch]:
     lattices = Lattices(vocabulary(model, theta))
     for batch in batches:
@@ -404,10 +405,9 @@ def _encode(batches: Iterator[pa.RecordBatch], key: str, model: str, theta: floa
             b = batch.slice(first, 250)
             tokens = encode_texts(lattices, b.column(key).to_pylist(), b.column("text").to_pylist(), seed)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.binary())], names=[*b.schema.names, "tokens"])
-    del lattices
-    _text.trim()
 
 
+@_text.trims
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     pieces = vocabulary(model, 1.0)
     for batch in batches:

@@ -141,6 +141,7 @@ def fit(labels: DataFrame, texts: DataFrame, sample: int = SAMPLE) -> Model:
     return train(found[1], found[0], (float(counts.get(1, 0)), float(counts.get(0, 0))))
 
 
+@_text.trims
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     codecs = model.codecs() if model.good and model.bad else None
