@@ -27,10 +27,10 @@ from seriesforge.llm._spark import ship_package
 
 #: Longest context in bytes.
 ORDER = 3
-#: Bound of the training sample: whole texts of each language, those of smallest hash.
-SAMPLE = 150
-#: Bound of the languages learned.
-LANGS = 64
+#: Bound of the training sample: whole texts of each language, those of smallest hash, and of all languages together.
+SAMPLE, SAMPLE_ALL = 150, 9600
+#: Bound of the compiled tables, which are sent to all tasks: the order falls until they fit.
+MODEL_BYTES = 1 << 28
 #: Prediction for texts without a letter.
 UNKNOWN = "und"
 #: Occurrences that a context of three bytes or more needs to be kept in a tree.
@@ -79,6 +79,9 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
             total = np.bincount(at, count, len(c))
             found.append(c[total >= (LEAST_SEEN if n > 2 else 1)])
         contexts.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
+    while order > 1 and sum(map(len, contexts)) * size * (len(langs) + 1) * 4 > MODEL_BYTES:
+        order -= 1
+        contexts = contexts[: order + 1]
     # a context's parent lacks its oldest byte, which is the highest digit
     first = np.cumsum([0, *map(len, contexts)])
     nodes = int(first[-1])
@@ -141,10 +144,11 @@ def code_lengths(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
-    """Fit on ``docs(key, text, lang)``: for each of the ``LANGS`` most frequent non-null languages ``sample`` whole texts, by the keys' hashes."""
-    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    """Fit on ``docs(key, text, lang)``: for each non-null language ``sample`` whole texts by the keys' hashes, fewer where all languages would take more than ``SAMPLE_ALL``."""
+    counts = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
     if not counts:
         return train({}, order)
+    sample = max(1, min(sample, SAMPLE_ALL // len(counts)))
     h = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     # about 1.3 times as many as needed pass by hash; the smallest hashes stay
     wanted = [(F.col("lang") == g) & (h < min(1 << 30, int(1.3 * (sample + 20) / n * (1 << 30)) + 1)) for g, n in counts.items()]
@@ -185,9 +189,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     The score is the winner's share when code lengths are turned into
     probabilities.  A text that is null or has no letter gets ``und`` and 0.  Ties go to the
-    first language by name; repeated rows and empty tables pass as they are.
+    first language by name; repeated rows and empty tables pass as they are; columns named lang_pred or score are replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score")
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")

@@ -124,14 +124,14 @@ def fit(labels: DataFrame, texts: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``labels(doc_id, label)`` with labels 1 and 0 and ``texts(doc_id, text)``: about ``sample`` whole texts of each label, by the ids' hashes.
 
     The classes' shares are counted over all labels.  Only the sampled ids, a
-    bounded number, are looked up among the texts.
+    bounded number, are looked up among the texts.  Of contradicting labels of one id the greater counts.
     """
     counts = {r["label"]: r["count"] for r in labels.where("label in (0, 1)").groupBy("label").count().collect()}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     cut = F.lit(0)
     for label, n in counts.items():
         cut = F.when(F.col("label") == label, min(1 << 30, int(1.3 * (sample + 20) / n * (1 << 30)) + 1)).otherwise(cut)
-    chosen = labels.where(h < cut).select("doc_id", "label", h.alias("h")).dropDuplicates(["doc_id"])
+    chosen = labels.where(h < cut).groupBy("doc_id").agg(F.max("label").alias("label"), F.max(h).alias("h"))
     rows = texts.where("text is not null").join(F.broadcast(chosen), "doc_id").select("label", "h", "text").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("text", "ascending")])
     found: dict[int, list[bytes]] = {0: [], 1: []}

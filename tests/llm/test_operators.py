@@ -213,13 +213,20 @@ def test_exact_copies_of_any_item():
 # language
 
 
-def test_code_lengths_are_those_of_the_trees():
-    texts = {"x": [b"abracadabra", b"abra"], "y": [b"cadcad cad"]}
-    model = langid.train(texts, order=2)
+@pytest.mark.parametrize("order", [2, langid.ORDER])
+def test_code_lengths_are_those_of_the_trees(order):
+    texts = {"x": [b"abracadabra", b"abra abracadabra"], "y": [b"cadcad cad cadabra"]}
+    model = langid.train(texts, order=order)
+
+    def seen(c):
+        """Whether some language has a context often enough to keep it."""
+        return len(c) < 3 or any(sum(t[i : i + len(c)] == c for t in ts for i in range(len(t) - len(c))) >= langid.LEAST_SEEN for ts in texts.values())
 
     def bits(g, context, symbol):
-        for n in range(min(2, len(context)), -1, -1):
+        for n in range(min(order, len(context)), -1, -1):
             c = context[len(context) - n :]
+            if not seen(c):
+                continue
             follow = defaultdict(int)
             for t in texts[g]:
                 for i in range(n, len(t)):
@@ -235,7 +242,7 @@ def test_code_lengths_are_those_of_the_trees():
 
     for t in (b"abrz cad", b"", b"q", b"dabra"):
         got = langid.code_lengths(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
-        want = [sum(bits(g, t[max(0, i - 2) : i], t[i]) for i in range(len(t))) for g in ("x", "y")]
+        want = [sum(bits(g, t[max(0, i - order) : i], t[i]) for i in range(len(t))) for g in ("x", "y")]
         assert got == pytest.approx(want, abs=1e-4)
 
 
@@ -248,6 +255,8 @@ def test_language(spark, odd):
     rows = {(r.doc_id, r.text_len): r for r in langid.identify(odd.select("doc_id", F.length("text").alias("text_len"), "text"), model).collect()}
     assert rows[0, None].lang_pred == "und" and rows[2, 3].score == 0.0 and len(rows) >= 11
     assert {r.lang_pred for r in langid.identify(odd.select("doc_id", "text"), langid.train({})).collect()} == {"und"}
+    clash = langid.identify(odd.select("doc_id", "text", "score", F.lit(1).alias("lang_pred")), model)
+    assert clash.columns == ["doc_id", "lang_pred", "score"] and clash.select("score").count() == 12
 
 
 # lines
