@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm import decontaminate, jaccard, lines, pieces, quality
-from seriesforge.llm._spark import shared_dir, table
+from seriesforge.llm._spark import Scratch, table
 from seriesforge.llm.registry import fit_quality
 
 #: Documents below this quality score go.
@@ -17,66 +17,20 @@ LEAST_QUALITY = 0.3
 LEAVE_COPIES = 0.5
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    scored = quality.score(docs, fit_quality(spark, sf_dir, docs))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(docs.columns)
+#: Columns of documents; others are carried along as one, so that no stage's own columns meet them.
+BASE = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_length(kept: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of a rewriting without those left blank by it, their n_chars counted anew, with the columns of docs."""
-    changed = (F.col("n_dropped") > 0) | (F.col("n_cut") > 0)
-    length = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.where(~F.coalesce(changed & (F.trim("text") == ""), F.lit(False))).withColumn("n_chars", length).select(docs.columns)
+def _carried(stage):
+    """A stage that returns all columns of its documents, whatever their names."""
 
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but one, except from copies, which the next stage handles; a document of which only blanks are left goes too.
-
-    Null texts and ids stay; repeated rows are alike; an empty table gives none.
-    """
-    return _with_length(lines.drop_recurring_lines(docs, leave=LEAVE_COPIES), docs)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one of smallest doc_id stays; passages that those left share go from all but one, and documents left blank go.
-
-    Null and blank texts and null ids are linked with nothing and stay; repeated rows of an id stay or go together.
-    """
-    gone = jaccard.jaccard_classes(docs, w=5, percent=75).where("doc_id <> component_id").select("doc_id").distinct()
-    return _with_length(lines.drop_repeated_passages(docs.join(gone, "doc_id", "left_anti").select(docs.columns)), docs)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their sampled tokens (little-endian int32), and whether decoding gives the text back."""
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), "doc_id"))
-    n = F.coalesce(F.octet_length("tokens") / 4, F.lit(0)).cast("long")
-    return both.select("doc_id", "lang", "source", n.alias("n_tokens"), "tokens", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
-
-
-STAGES = [
-    ("quality_classifier", quality_stage),
-    ("line_dedup", line_stage),
-    ("jaccard_join", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("sentencepiece", token_stage),
-]
-
-#: Compression, sampled segmentation and trained scores have no SQL; tests compare the stages with brute force.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and reread by the next."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and reread by the next, and dropped once that is written."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{root}/{name}")
+    scratch = Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.keep(name, stage(spark, docs, sf_dir))
+        if i:
+            scratch.drop(STAGES[i - 1][0])
     return docs
