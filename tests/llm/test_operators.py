@@ -610,6 +610,31 @@ def test_counts_of_blocks():
         assert dict(zip(np.frombuffer(r["tokens"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist(), strict=True)) == {x: total[x] for x in t.tolist() if total[x] > 1}
 
 
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    first = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 300").select("text").first().text
+    texts = [None, "", "  ", "one", first, first, "x" * 20000, "tie one two three four five six"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, n_dropped int, _spans int, key string, node long, tokens string, `a b` string"
+    rows = [(i, t, None, "s", len(t or ""), f"s{i}", i, i, "k", i, "t", "z") for i, t in enumerate(texts)]
+    rows += [rows[4], rows[0], (None, "no id", "en", None, None, "s", None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf)
+        assert stage(spark, df.limit(0), sf).count() == 0
+        if name == "sentencepiece":
+            assert out.where("not lossless").count() == 0 and out.count() == len(rows)
+            continue
+        assert out.columns == df.columns
+        got = out.collect()
+        assert all(r.score == f"s{r.doc_id}" and r.n_dropped == r.doc_id for r in got if r.doc_id is not None)
+        if name == "jaccard_join":
+            assert sorted(r.doc_id for r in got if r.doc_id is not None) == [0, 0, 1, 2, 3, 4, 4, 6, 7]
+        elif name != "quality_classifier":
+            assert len(got) == len(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
