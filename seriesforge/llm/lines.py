@@ -273,6 +273,11 @@ def _apply(batches: Iterator[pa.RecordBatch], leave: float) -> Iterator[pa.Recor
         )
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys of a written table, to be broadcast where they are few."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+
+
 def _of_some(docs: DataFrame, some: DataFrame) -> DataFrame:
     """``docs`` with what ``some(doc_id, key, ...)`` has for them; where these are few, only they are shuffled."""
     ids = some.select("doc_id").distinct()
@@ -284,15 +289,20 @@ def _of_some(docs: DataFrame, some: DataFrame) -> DataFrame:
 def _line_drops(scratch: Scratch, docs: DataFrame, min_docs: int) -> DataFrame:
     """``(doc_id, key, _lines)``: hashes of the lines that go."""
     rows = scratch.keep("lines", docs.mapInArrow(_lines, "doc_id long, key long, leaf long, line long"), TEXTS)
-    by = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("low"))
-    by = scratch.keep("by", by.where(f"docs > 1 or leaf is not null"))
-    exact = by.where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"), F.col("low").alias("owner"))
+    by = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("rep"), F.max("doc_id").alias("high"))
+    by = scratch.keep("by", by.where("n > 1 or leaf is not null"))
+    # rows of one doc_id count once: of lines in three rows or more the documents are counted apart
+    some = _small(by.where("n > 2").select("line"))
+    docs_of = rows.join(some, "line").groupBy("line").agg(F.count_distinct("doc_id").alias("docs"))
+    few = F.when(F.col("rep.doc_id") == F.col("high"), 1).otherwise(2)
+    by = by.join(docs_of, "line", "left").select("line", "leaf", "rep", F.coalesce("docs", few).cast("long").alias("docs"))
+    by = scratch.keep("counted", by)
+    exact = by.where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"), F.col("rep.doc_id").alias("owner"))
     rest = by.where((F.col("docs") < min_docs) & F.col("leaf").isNotNull())
     open_ = rest.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     rest = scratch.keep("rest", rest.join(open_, "leaf"))
     # the tokens of each such line, from one document that has it
-    wanted = rest.select(F.col("low").alias("doc_id"), "line").join(rows, ["doc_id", "line"]).groupBy("line").agg(F.min(F.struct("doc_id", "key")).alias("x"))
-    wanted = scratch.keep("wanted", wanted.groupBy("x.doc_id", "x.key").agg(F.collect_list("line").alias("lines")))
+    wanted = scratch.keep("wanted", rest.groupBy("rep.doc_id", "rep.key").agg(F.collect_list("line").alias("lines")))
     tokens = _of_some(docs, wanted).mapInArrow(_tokens, "leaf long, line long, tokens array<long>").dropDuplicates(["line"])
     tokens = scratch.keep("tokens", tokens.join(rest.select("line", "docs"), "line"))
     each = tokens.select("leaf", "line", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
@@ -304,13 +314,14 @@ def _line_drops(scratch: Scratch, docs: DataFrame, min_docs: int) -> DataFrame:
         .where((F.col("literals") >= LITERALS) & (F.col("literals") >= LITERAL_SHARE * F.col("n")))
         .select("line", F.xxhash64("leaf", "of").alias("template"))
     )
-    members = rows.select("doc_id", "line").join(template, "line")
+    template = scratch.keep("general", template)
+    members = rows.select("doc_id", "line").join(_small(template), "line")
     general = members.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("owner")).where(F.col("docs") >= min_docs)
     general = template.join(general.select("template", "owner"), "template").select("line", "template", "owner")
     known = scratch.keep("templates", exact.unionByName(general).select("line", "owner"))
-    drops = rows.join(known, "line").where("doc_id <> owner").groupBy("doc_id", "key").agg(F.collect_set("line").alias("_lines"))
+    drops = rows.join(_small(known), "line").where("doc_id <> owner").groupBy("doc_id", "key").agg(F.collect_set("line").alias("_lines"))
     drops = scratch.keep("drops", drops)
-    scratch.drop("lines", "by", "rest", "wanted", "tokens", "templates")
+    scratch.drop("lines", "by", "counted", "rest", "wanted", "tokens", "general", "templates")
     return drops
 
 
@@ -319,8 +330,7 @@ def _passage_drops(scratch: Scratch, docs: DataFrame) -> DataFrame:
     rows = scratch.keep("anchors", docs.mapInArrow(_anchors, "doc_id long, key long, places array<int>, anchor long, around long"), TEXTS)
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = scratch.keep("shared", shared)
-    some = F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared
-    known = scratch.keep("known", rows.join(some, "anchor"))
+    known = scratch.keep("known", rows.join(_small(shared), "anchor"))
     scratch.drop("anchors", "shared")
     kinds = scratch.keep("kinds", known.groupBy("anchor", "around").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")))
     # tokens around an anchor that a smaller document has alike
@@ -354,7 +364,16 @@ def _rewritten(docs: DataFrame, lines: bool, passages: bool, min_docs: int, leav
         "all", found[0].unionByName(found[1]).groupBy("doc_id", "key").agg(F.first("_lines", ignorenulls=True).alias("_lines"), F.first("_spans", ignorenulls=True).alias("_spans"))
     )
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_lines", "_spans")
-    joined = docs.join(drops, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    if (ids := drops.select("_id").distinct()).count() <= MAX_BROADCAST:
+        # only texts that lose something are shuffled
+        ids = F.broadcast(ids)
+        on = F.col("doc_id").cast("long") == F.col("_id")
+        joined = docs.join(ids, on, "left_semi").join(drops, same, "left").drop("_id", "_key")
+        rest = docs.join(ids, on, "left_anti")
+        joined = joined.unionByName(rest.withColumns({n: F.lit(None).cast(joined.schema[n].dataType) for n in ("_lines", "_spans")}))
+    else:
+        joined = docs.join(drops, same, "left").drop("_id", "_key")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_lines", "_spans"))
     return joined.mapInArrow(lambda it: _apply(it, leave), f"{kept}, text string, n_lines long, n_dropped long, n_cut long")
 
