@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -70,11 +69,6 @@ class Scratch:
             self.spark.conf.set(key, usual)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Let go of finished shuffles: Spark deletes their files once the driver has collected what refers to them."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
