@@ -57,26 +57,32 @@ def write_block(samples: DataFrame, path: str, check: bool = True, part: str = "
     spark = samples.sparkSession
     where = {name: f"{path}/{name}/{part}".rstrip("/") for name in ("samples", "series", "chunks", "meta")}
     rows = samples.select(label_key(F.col("labels")).alias("label_key"), "ts_ms", "value").persist()
+    k = F.col("label_key")
+    # what is sorted is held, as a sort reads its input twice
+    series = rows.select(k).distinct().select(fingerprint(k).alias("series_id"), k, canonical(k).alias("canonical"), F.map_from_entries(k).alias("labels")).persist()
     try:
-        meta = block_meta(rows).first()
-        if not meta["sample_count"]:
+        if rows.isEmpty():
             raise ValueError("an empty block")
-        validate_meta(*meta)
-        k = F.col("label_key")
-        series = rows.select(k).distinct().select(fingerprint(k).alias("series_id"), k, canonical(k).alias("canonical"), F.map_from_entries(k).alias("labels"))
         series.orderBy("series_id").write.mode("overwrite").parquet(where["series"])
-        series = spark.read.parquet(where["series"])
         if check and not series.groupBy("series_id").count().where("count > 1").isEmpty():
             raise ValueError("label sets share a series id")
         stored = rows.join(series.select("label_key", "series_id"), "label_key").select("series_id", "ts_ms", "value", (F.col("ts_ms") - F.col("ts_ms") % BLOCK_MS).alias("block_start"))
         stored.repartitionByRange("block_start", "series_id").sortWithinPartitions("block_start", "series_id", "ts_ms").write.mode("overwrite").partitionBy("block_start").option("compression", "zstd").parquet(where["samples"])
+        n_series = series.count()
     finally:
+        series.unpersist()
         rows.unpersist()
     # each window of a series is a chunk; a time held twice shows as fewer distinct times than samples
-    stored = spark.read.schema(_SAMPLES).parquet(where["samples"])
-    _chunks(stored).orderBy("series_id", "block_start").write.mode("overwrite").parquet(where["chunks"])
-    if check and not spark.read.parquet(where["chunks"]).where("distinct_times < sample_count").isEmpty():
-        raise ValueError("a series has a time twice")
+    chunks = _chunks(spark.read.schema(_SAMPLES).parquet(where["samples"])).persist()
+    try:
+        chunks.orderBy("series_id", "block_start").write.mode("overwrite").parquet(where["chunks"])
+        if check and not chunks.where("distinct_times < sample_count").isEmpty():
+            raise ValueError("a series has a time twice")
+        found = chunks.agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.lit(n_series).cast("long").alias("series_count"), F.sum("sample_count").alias("sample_count"))
+        meta = found.select(block_id(F.col("min_ts"), F.col("max_ts")).alias("id"), *found.columns).first()
+    finally:
+        chunks.unpersist()
+    validate_meta(*meta)
     out = {**meta.asDict(), **(more or {})}
     spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(where["meta"])
     return out

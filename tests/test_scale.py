@@ -38,6 +38,21 @@ def test_a_batch_is_parsed_once(spark, tmp_path):
     assert {r[0]: r[1] for r in ingest.rejected().groupBy("error").count().collect()} == {"missing field": 20, "series budget": 60}
 
 
+def test_a_block_computes_ids_once_a_series(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(k):
+        seen.add(1)
+        return int(k[0]["value"])
+
+    udf = F.udf(touch, LongType()).asNondeterministic()
+    monkeypatch.setattr(blocks, "fingerprint", lambda k: udf(k))
+    meta = blocks.write_block(_samples(spark, 90, 9), f"file://{tmp_path}/block")
+    assert seen.value == 9
+    assert (meta["series_count"], meta["sample_count"], meta["min_ts"], meta["max_ts"]) == (9, 90, 0, 89000)
+    assert meta["id"] == "block-0000000000000-0000000089000"
+
+
 def test_monotonic_wide_gaps_and_long_series(spark):
     s = _samples(spark, 300, 3, gap=1 << 20).withColumn("ts_ms", F.pmod(F.xxhash64("seq"), F.lit(1000))).withColumn("label_key", label_key(F.col("labels")))
     s = s.withColumn("counts", F.col("seq") % 5 != 0)
