@@ -53,6 +53,27 @@ def test_a_block_computes_ids_once_a_series(spark, tmp_path, monkeypatch):
     assert meta["id"] == "block-0000000000000-0000000089000"
 
 
+def test_fingerprints_once_a_series(spark, tmp_path):
+    s = _samples(spark, 50).withColumn("block_ord", F.lit(0))
+    lines = _plan(selectors.range_select(s, [], 0, 40000))
+    at = [i for i, line in enumerate(lines) if "aggregate(" in line]
+    assert at and all("Aggregate [" in lines[i] + lines[i + 1] for i in at)
+    with Node(spark, f"file://{tmp_path}/node") as node:
+        node.append(_samples(spark, 50))
+        found = node.read_id(node.get_or_create({"s": "3"}))
+        assert not any("aggregate(" in line for line in _plan(found))
+        assert [r["ts_ms"] for r in found.collect()] == [i * 1000 for i in range(3, 50, 7)]
+        assert node.read_id(12345).count() == 0
+
+
+def test_range_ordered_ranks_no_rows_in_one_task(spark):
+    df = catalog.QUERIES["range_ordered"](spark, "/root/testdata/sf0.001")
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
+    # what meets in one task are counts of partitions
+    assert single and all("n#" in lines[i + 1] and "HashAggregate" in lines[i + 1] for i in single)
+
+
 def test_monotonic_wide_gaps_and_long_series(spark):
     s = _samples(spark, 300, 3, gap=1 << 20).withColumn("ts_ms", F.pmod(F.xxhash64("seq"), F.lit(1000))).withColumn("label_key", label_key(F.col("labels")))
     s = s.withColumn("counts", F.col("seq") % 5 != 0)
