@@ -82,3 +82,10 @@ def test_monotonic_wide_gaps_and_long_series(spark):
     want = {(r["seq"], r["e"]) for r in s.withColumn("e", F.col("counts") & (top.isNull() | (F.col("ts_ms") > top))).collect()}
     for stretch in (10, 50, 1 << 30):
         assert {(r["seq"], r["accepted"]) for r in ingestion.monotonic(s, stretch=stretch, counting="counts").collect()} == want
+
+
+def test_monotonic_accept_sorts_no_maps(spark):
+    df = catalog.QUERIES["monotonic_accept"](spark, "/root/testdata/sf0.001")
+    lines = _plan(df)
+    windows = [i for i, line in enumerate(lines) if "Window [" in line and "_inside" in line]
+    assert windows and all("labels#" not in lines[i + 1] for i in windows)
