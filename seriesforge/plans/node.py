@@ -82,8 +82,11 @@ class Node:
         return self.read(-(1 << 63), (1 << 63) - 1, labels)
 
     def read_id(self, series_id: int, start: int = -(1 << 63), end: int = (1 << 63) - 1) -> DataFrame:
-        """The head's samples of a series by its id; none for an unknown one."""
-        return self.head().where((fingerprint(F.col("label_key")) == series_id) & F.col("ts_ms").between(start, end)).orderBy("ts_ms")
+        """The head's samples of a series by its id; none for an unknown one.  Fingerprints are computed once a series, not once a sample."""
+        # collected, as Spark would infer the condition on fingerprints for the samples too
+        found = self.known_series().select("label_key").where(fingerprint(F.col("label_key")) == series_id).distinct().collect()
+        wanted, head = self.spark.createDataFrame(found, f"label_key {_KEY}"), self.head()
+        return head.where(F.col("ts_ms").between(start, end)).join(F.broadcast(wanted), "label_key", "left_semi").select(*head.columns).orderBy("ts_ms")
 
     def series_count(self) -> int:
         return self.known_series().select("label_key").distinct().count()
@@ -144,10 +147,8 @@ class Node:
         self._open()
         gated = self._gated(samples, tenant)
         # the latest time of each series in the head arrives before all new samples
-        before = self.latest().withColumn("seq", F.lit(-(1 << 62)))
-        every = gated.where("admitted").unionByName(before, allowMissingColumns=True)
-        checked = monotonic(every).where("tenant is not null")
-        checked = checked.unionByName(gated.where("not admitted").withColumn("accepted", F.lit(False))).persist()
+        before = self.latest().withColumn("seq", F.lit(-(1 << 62))).withColumn("admitted", F.lit(True))
+        checked = monotonic(gated.unionByName(before, allowMissingColumns=True), counting="admitted").where("tenant is not null").persist()
         try:
             stop = None
             if strict:
