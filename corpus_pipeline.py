@@ -82,9 +82,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text has null tokens and counts none; rows of one id and text have the same tokens; other columns end here.
     """
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), "doc_id"))
+    both = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"), "doc_id")
     n = F.coalesce(F.octet_length("tokens") / 4, F.lit(0)).cast("long")
-    return both.select("doc_id", "lang", "source", n.alias("n_tokens"), "tokens", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    return both.select("doc_id", "lang", "source", n.alias("n_tokens"), "tokens", "lossless")
 
 
 STAGES = [

@@ -407,6 +407,17 @@ def _encode(batches: Iterator[pa.RecordBatch], key: str, model: str, theta: floa
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.binary())], names=[*b.schema.names, "tokens"])
 
 
+@_text.trims
+def _round_trip(batches: Iterator[pa.RecordBatch], key: str, model: str, theta: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """As ``_encode``, the text replaced by whether decoding gives it back."""
+    pieces = vocabulary(model, theta)
+    for b in _encode(batches, key, model, theta, seed):
+        pairs = zip(b.column("text").to_pylist(), b.column("tokens").to_pylist(), strict=True)
+        same = pa.array([t == decode_tokens(pieces, k) for t, k in pairs], pa.bool_())
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, names), same], names=[*names, "lossless"])
+
+
 @_text.trims
 def _decode(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     pieces = vocabulary(model, 1.0)
@@ -438,3 +449,14 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     ship_package(rows.sparkSession)
     rows = rows.drop("decoded")
     return rows.mapInArrow(lambda it: _decode(it, model), f"{_schema(rows)}, decoded string")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", model: str = MODEL, theta: float = 1.0, seed: int = 0) -> DataFrame:
+    """All columns of ``docs`` but the text, its ``tokens`` as of ``encode``, and ``lossless``: whether ``decode`` gives the text back.
+
+    Both are done by one Python worker of a task, and no text goes back to the JVM.
+    A null text comes back as null; columns named tokens or lossless are replaced.
+    """
+    ship_package(docs.sparkSession)
+    docs = docs.drop("tokens", "lossless")
+    return docs.mapInArrow(lambda it: _round_trip(it, key, model, theta, seed), f"{_schema(docs.drop('text'))}, tokens binary, lossless boolean")

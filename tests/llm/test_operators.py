@@ -108,6 +108,33 @@ def test_pieces_round_trip(spark, odd):
     assert pieces.encode(odd.limit(0)).count() == 0
 
 
+def test_pieces_and_back_in_one_pass(spark, odd):
+    apart = pieces.decode(pieces.encode(odd)).collect()
+    once = pieces.round_trip(odd.withColumn("lossless", F.lit("x"))).collect()
+    key = lambda r: (str(r.doc_id), r.tokens or b"", r.lang or "")
+    assert sorted(map(key, once)) == sorted(map(key, apart))
+    assert all(r.lossless for r in once) and "text" not in once[0]
+    b = pa.record_batch({"doc_id": [1, 2, 3], "text": ["one", "two", None]})
+    right = pieces.decode_tokens
+    try:
+        pieces.decode_tokens = lambda v, t: "one"
+        assert next(pieces._round_trip(iter([b]), "doc_id", pieces.MODEL, 1.0, 0)).column("lossless").to_pylist() == [True, False, False]
+    finally:
+        pieces.decode_tokens = right
+    assert pieces.round_trip(odd.limit(0)).count() == 0
+
+
+def test_pieces_hold_one_worker(spark, tmp_path):
+    """Each Python step of a plan is a worker more of every task, with a vocabulary of its own."""
+    import corpus_pipeline
+
+    docs(spark, ["one two", None]).withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (registry.op2_pieces(spark, str(tmp_path)), corpus_pipeline.token_stage(spark, df, str(tmp_path))):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert {r.doc_id: (r.n_tokens > 0, r.lossless) for r in out.collect()} == {0: (True, True), 1: (False, True)}
+
+
 def test_pieces_follow_the_lattice():
     v = pieces.vocabulary(pieces.MODEL, 1.0)
     by = {b: i for i, b in enumerate(v.text) if b and np.isfinite(v.weight[i])}
