@@ -48,17 +48,19 @@ MAX_BROADCAST = 1 << 20
 #: Texts that go to Python at once.
 TEXTS = 500
 _REACH = PASSAGE - ANCHOR
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
-_WORDLY = (~_text.NOT_ALNUM).astype(np.int64)
+#: Kinds of rows that are read from texts.
+LINE, ANCHORED = "line", "anchor"
+#: Of bytes: 1 a digit, 2 a letter, digit or byte of other scripts.
+_CLASS = 2 * (~_text.NOT_ALNUM).astype(np.uint8)
+_CLASS[48:58] |= 1
 _VARIABLE = np.uint64(0x6A09E667F3BCC909)
 
 
-class Lines:
-    """Lines of consecutive rows: tokens, where lines begin, leaf and template hashes."""
+class Layout:
+    """Where lines of consecutive rows begin, and their tokens."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.starts, self.ends, h, self.first = _text.words(data, off, lower=False)
+    def __init__(self, data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+        self.starts, self.ends, self.first = starts, ends, first
         rows = len(off) - 1
         breaks = np.flatnonzero(data == 10) + 1
         # each row's start opens a line, also that of an empty row
@@ -70,30 +72,33 @@ class Lines:
         # tokens of a line: those from its begin to the next line's
         self.token = np.searchsorted(self.starts, self.begin)
         self.n = np.append(self.token[1:], len(self.starts)) - self.token
+
+
+class Lines(Layout):
+    """Lines of consecutive rows with leaf and template hashes."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, words: tuple | None = None):
+        starts, ends, h, first = words or _text.words(data, off, lower=False)
+        super().__init__(data, off, starts, ends, first)
         self.leaf = np.zeros(len(self.begin), np.uint64)
         self.line = np.zeros(len(self.begin), np.uint64)
         self.masked = h
         if not len(h):
             return
-        count = lambda of: np.concatenate([[0], np.cumsum(of[data])])
-        digits, alnum = count(_DIGIT), count(_WORDLY)
-        digit = digits[self.ends] > digits[self.starts]
+        # white space after a token is of no class
+        has = np.bitwise_or.reduceat(_text.of_bytes(_CLASS, data), starts)
+        digit = has & 1 > 0
+        wordly = np.concatenate([[0], np.cumsum(has > 1)])
         self.masked = np.where(digit, _VARIABLE, h)
         plain = np.concatenate([[0], np.cumsum(~digit)])
         literal = plain[self.token + self.n] - plain[self.token]
-        place = np.arange(len(h)) - np.repeat(self.token, self.n)
-        power = _text.powers(int(self.n.max()) + 2)[place + 1]
         size = self.n.astype(np.uint64)
-
-        def whole(v):
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * power)])
-            return _text.mix(run[self.token + self.n] - run[self.token] + size)
-
         few = literal < OWN_LITERALS
-        self.line = np.where(few, whole(h), whole(self.masked))
+        value = np.where(np.repeat(few, self.n), h, self.masked) * _text.powers(len(h) + 1)[1 : len(h) + 1]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        self.line = _text.mix((run[self.token + self.n] - run[self.token]) * _text.inverse_powers(len(h) + 1)[self.token] + size)
         # a line without a letter or digit says nothing
-        end = np.where(self.n > 0, self.ends[np.minimum(self.token + self.n, len(h)) - 1], 0)
-        said = (self.n > 0) & (alnum[end] > alnum[np.minimum(self.begin, len(data))])
+        said = wordly[self.token + self.n] > wordly[self.token]
         self.line[~said] = 0
         grows = said & ~few & (self.n > LEADING) & (literal >= LITERALS)
         lead = size[grows]
@@ -108,19 +113,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(first, TEXTS)
 
 
-@_text.trims
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's distinct lines; leaf null: nothing to generalise."""
-    for batch in batches:
-        ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
-        for a, _, data, off in _text.blocks(batch.column("text")):
-            x = Lines(data, off)
-            at = np.flatnonzero(x.line)
-            at = at[np.lexsort((x.line[at], x.row[at]))]
-            at = at[(np.diff(x.row[at], prepend=-1) != 0) | (np.diff(x.line[at].view(np.int64), prepend=0) != 0)]
-            yield pa.record_batch({
-                "doc_id": ids[a + x.row[at]], "key": keys[a + x.row[at]], "leaf": pa.array(x.leaf[at].view(np.int64), mask=x.leaf[at] == 0), "line": x.line[at].view(np.int64)
-            })
+def _listed(place: np.ndarray, fresh: np.ndarray) -> pa.Array:
+    """Places in lists, of which each begins at one of fresh."""
+    return pa.ListArray.from_arrays(np.append(fresh, len(place)).astype(np.int32), place.astype(np.int32))
 
 
 @_text.trims
@@ -152,8 +147,8 @@ def _sliding(g: np.ndarray, w: int, of) -> np.ndarray:
 class Runs:
     """Hashes of token runs of consecutive rows, by prefix sums."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.starts, self.ends, h, self.first = _text.words(data, off, lower=False)
+    def __init__(self, data: np.ndarray, off: np.ndarray, words: tuple | None = None):
+        self.starts, self.ends, h, self.first = words or _text.words(data, off, lower=False)
         n = len(h)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _text.powers(n + 1)[:n])])
         self.row = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
@@ -179,24 +174,38 @@ class Runs:
         return at, g[at]
 
 
+def _line_rows(x: Lines) -> tuple:
+    """Each row's distinct lines: row, places (by line), leaf (null: nothing to generalise), line."""
+    at = np.flatnonzero(x.line)
+    at = at[np.lexsort((at, x.line[at], x.row[at]))]
+    fresh = np.flatnonzero((np.diff(x.row[at], prepend=-1) != 0) | (np.diff(x.line[at].view(np.int64), prepend=0) != 0))
+    one = at[fresh]
+    return x.row[one], _listed(at - x.cut[x.row[at]], fresh), pa.array(x.leaf[one].view(np.int64), mask=x.leaf[one] == 0), x.line[one].view(np.int64)
+
+
+def _anchor_rows(x: Runs) -> tuple:
+    """Each row's anchors: row, places (by token), hash, hash of the tokens around."""
+    at, anchor = x.anchors()
+    row = x.row[at]
+    low, high = np.maximum(x.first[row], at - _REACH), np.minimum(x.first[row + 1], at + PASSAGE)
+    around = _text.mix(x.hashes(low, high) + ((at - low) << 8 | (high - at)).astype(np.uint64))
+    # a text that repeats itself has the same surroundings at many places
+    order = np.lexsort((at, around, row))
+    at, row, anchor, around = at[order], row[order], anchor[order], around[order].view(np.int64)
+    fresh = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(around, prepend=0) != 0))
+    return row[fresh], _listed(at - x.first[row], fresh), anchor[fresh].view(np.int64), around[fresh]
+
+
 @_text.trims
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's anchors: hash, hash of the tokens around, and where both stand (by token)."""
+def _read(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of each kind, of words that are hashed once."""
     for batch in batches:
         ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
         for a, _, data, off in _text.blocks(batch.column("text")):
-            x = Runs(data, off)
-            at, anchor = x.anchors()
-            row = x.row[at]
-            low, high = np.maximum(x.first[row], at - _REACH), np.minimum(x.first[row + 1], at + PASSAGE)
-            around = _text.mix(x.hashes(low, high) + ((at - low) << 8 | (high - at)).astype(np.uint64))
-            # a text that repeats itself has the same surroundings at many places
-            order = np.lexsort((at, around, row))
-            at, row, anchor, around = at[order], row[order], anchor[order], around[order].view(np.int64)
-            fresh = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(around, prepend=0) != 0))
-            places = pa.ListArray.from_arrays(np.append(fresh, len(at)).astype(np.int32), (at - x.first[row]).astype(np.int32))
-            row = a + row[fresh]
-            yield pa.record_batch({"doc_id": ids[row], "key": keys[row], "places": places, "anchor": anchor[fresh].view(np.int64), "around": around[fresh]})
+            words = _text.words(data, off, lower=False)
+            for kind in kinds:
+                row, places, group, hashed = _line_rows(Lines(data, off, words)) if kind == LINE else _anchor_rows(Runs(data, off, words))
+                yield pa.record_batch({"doc_id": ids[a + row], "key": keys[a + row], "places": places, "a": group, "b": hashed, "kind": pa.array([kind]).take(pa.array(np.zeros(len(row), np.int32)))})
 
 
 @_text.trims
@@ -205,68 +214,85 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
         for a, b, data, off in _text.blocks(batch.column("text")):
-            x = Runs(data, off)
+            x, found = Runs(data, off), []
             for i in range(b - a):
                 n = int(x.first[i + 1] - x.first[i])
                 places = batch.column("places")[a + i].values.to_numpy().astype(np.int64)
                 at = np.unique((places[:, None] - np.arange(_REACH + 1)).ravel())
                 at = at[(at >= 0) & (at + PASSAGE <= n)]
-                run = x.hashes(x.first[i] + at, x.first[i] + at + PASSAGE)
-                yield pa.record_batch({"doc_id": np.full(len(at), ids[a + i]), "key": np.full(len(at), keys[a + i]), "place": at.astype(np.int32), "run": run.view(np.int64)})
+                found.append(at)
+            row, place = np.repeat(np.arange(b - a), list(map(len, found))), np.concatenate(found)
+            at = x.first[row] + place
+            yield pa.record_batch({"doc_id": ids[a + row], "key": keys[a + row], "place": place.astype(np.int32), "run": x.hashes(at, at + PASSAGE).view(np.int64)})
 
 
-def _without(text: bytes, begin: list[int], gone: list[bool], starts: np.ndarray, ends: np.ndarray, covered: np.ndarray, token: np.ndarray) -> tuple[str, int]:
+def _without(text: bytes, begin: list[int], gone: np.ndarray, starts: np.ndarray, ends: np.ndarray, covered: np.ndarray, token: np.ndarray) -> tuple[str, int]:
     """A text without lines that are gone and tokens that are covered, and how many lines went whole."""
-    out, lost = [], 0
-    for k, (s, dead) in enumerate(zip(begin, gone, strict=True)):
-        e = begin[k + 1] - 1 if k + 1 < len(begin) else len(text)
-        hit = np.flatnonzero(covered[token[k] : token[k + 1]])
-        if dead or (len(hit) and len(hit) == token[k + 1] - token[k]):
-            lost += 1
+    upto = np.concatenate([[0], np.cumsum(covered)])[token]
+    hits = np.diff(upto)
+    dead = gone | ((hits > 0) & (hits == np.diff(token)))
+    # stretches of covered tokens of a line: a token goes with the white space after it, up to the line's last token
+    opens, last = np.zeros(len(covered) + 1, bool), np.zeros(len(covered) + 1, bool)
+    opens[token], last[token] = True, True
+    before = covered.copy()
+    before[1:] = covered[:-1]
+    first = np.flatnonzero(covered & (opens[:-1] | ~before))
+    after = np.append(covered[1:], False)
+    final = np.flatnonzero(covered & (last[1:] | ~after))
+    to = np.where(last[final + 1], ends[final], starts[np.minimum(final + 1, len(starts) - 1)]) if len(final) else final
+    cut = np.searchsorted(first, token).tolist()
+    frm, to = starts[first].tolist() if len(first) else [], to.tolist()
+    out = []
+    for k, (s, lost) in enumerate(zip(begin, dead.tolist(), strict=True)):
+        if lost:
             continue
-        at = s
+        e = begin[k + 1] - 1 if k + 1 < len(begin) else len(text)
         pieces = []
-        for i in hit.tolist():
-            # a token goes with the white space after it
-            i += int(token[k])
-            pieces.append(text[at : int(starts[i])])
-            at = int(starts[i + 1]) if i + 1 < token[k + 1] else int(ends[i])
-        out.append((b"".join(pieces) + text[at:e]) if pieces else text[s:e])
-    return b"\n".join(out).decode(), lost
+        for j in range(cut[k], cut[k + 1]):
+            pieces.append(text[s : frm[j]])
+            s = to[j]
+        out.append((b"".join(pieces) + text[s:e]) if pieces else text[s:e])
+    return b"\n".join(out).decode(), int(dead.sum())
 
 
 @_text.trims
 def _apply(batches: Iterator[pa.RecordBatch], leave: float) -> Iterator[pa.RecordBatch]:
+    """Texts without what goes; _lines: places of lines; _spans: places of passages, or less than 0: of anchors, as -1 - place, that go with the tokens around."""
     for batch in _slices(batches):
         texts, total, dropped, cuts = [], [], [], []
         column = batch.column("text")
         for a, b, data, off in _text.blocks(column):
-            x = Lines(data, off)
+            x = Layout(data, off, *_text.bounds(data, off))
             for i in range(b - a):
                 s, e = int(x.cut[i]), int(x.cut[i + 1])
                 first, last = int(x.first[i]), int(x.first[i + 1])
                 lines, spans = batch.column("_lines")[a + i], batch.column("_spans")[a + i]
-                gone, covered = np.zeros(e - s, bool), np.zeros(last - first, bool)
+                gone, covered, cut, lost, text = np.zeros(0, np.int64), None, 0, 0, column[a + i].as_py()
                 if lines.is_valid:
-                    gone = np.isin(x.line[s:e], lines.values.to_numpy().view(np.uint64))
-                    if int(x.n[s:e][gone].sum()) > leave * (last - first):
-                        gone[:] = False
+                    gone = np.unique(lines.values.to_numpy())
+                    if int(x.n[s + gone].sum()) > leave * (last - first):
+                        gone = gone[:0]
                 if spans.is_valid:
-                    places = spans.values
-                    hit = np.zeros(last - first + 1, np.int64)
-                    np.add.at(hit, np.maximum(0, places.field("start").to_numpy()), 1)
-                    np.add.at(hit, np.minimum(last - first, places.field("end").to_numpy()), -1)
+                    place = spans.values.to_numpy().astype(np.int64)
+                    around = place < 0
+                    place = np.where(around, -1 - place, place)
+                    hit = np.bincount(np.maximum(0, place - _REACH * around), minlength=last - first + 1)
+                    hit -= np.bincount(np.minimum(last - first, place + PASSAGE), minlength=last - first + 1)
                     covered = np.cumsum(hit)[:-1] > 0
-                text = column[a + i].as_py()
-                lost = 0
-                if text is not None and (gone.any() or covered.any()):
+                    cut = int(covered.sum())
+                if text is not None and cut:
                     o = int(off[i])
                     token = np.append(x.token[s:e], last) - first
-                    text, lost = _without(text.encode(), (x.begin[s:e] - o).tolist(), gone.tolist(), x.starts[first:last] - o, x.ends[first:last] - o, covered, token)
+                    dead = np.zeros(e - s, bool)
+                    dead[gone] = True
+                    text, lost = _without(text.encode(), (x.begin[s:e] - o).tolist(), dead, x.starts[first:last] - o, x.ends[first:last] - o, covered, token)
+                elif text is not None and len(gone):
+                    dead, lost = set(gone.tolist()), len(gone)
+                    text = "\n".join(t for k, t in enumerate(text.split("\n")) if k not in dead)
                 texts.append(text)
                 total.append(0 if text is None else e - s)
                 dropped.append(lost)
-                cuts.append(int(covered.sum()))
+                cuts.append(cut)
         names = [n for n in batch.schema.names if n not in ("text", "_lines", "_spans")]
         yield pa.RecordBatch.from_arrays(
             [*map(batch.column, names), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (total, dropped, cuts))], names=[*names, "text", "n_lines", "n_dropped", "n_cut"]
@@ -286,23 +312,25 @@ def _of_some(docs: DataFrame, some: DataFrame) -> DataFrame:
     return docs.join(some, ["doc_id", "key"])
 
 
-def _line_drops(scratch: Scratch, docs: DataFrame, min_docs: int) -> DataFrame:
-    """``(doc_id, key, _lines)``: hashes of the lines that go."""
-    rows = scratch.keep("lines", docs.mapInArrow(_lines, "doc_id long, key long, leaf long, line long"), TEXTS)
-    by = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("rep"), F.max("doc_id").alias("high"))
+def _line_drops(scratch: Scratch, docs: DataFrame, rows: DataFrame, min_docs: int) -> DataFrame:
+    """``(doc_id, key, _lines)``: places of the lines that go."""
+    rows = rows.withColumnsRenamed({"a": "leaf", "b": "line"})
+    # a struct as the least would be sorted by; min_by is hashed
+    low = (F.min("doc_id").alias("rep_id"), F.min_by("key", "doc_id").alias("rep_key"))
+    by = rows.groupBy("line").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n"), *low, F.max("doc_id").alias("high"))
     by = scratch.keep("by", by.where("n > 1 or leaf is not null"))
     # rows of one doc_id count once: of lines in three rows or more the documents are counted apart
     some = _small(by.where("n > 2").select("line"))
     docs_of = rows.join(some, "line").groupBy("line").agg(F.count_distinct("doc_id").alias("docs"))
-    few = F.when(F.col("rep.doc_id") == F.col("high"), 1).otherwise(2)
-    by = by.join(docs_of, "line", "left").select("line", "leaf", "rep", F.coalesce("docs", few).cast("long").alias("docs"))
+    few = F.when(F.col("rep_id") == F.col("high"), 1).otherwise(2)
+    by = by.join(docs_of, "line", "left").select("line", "leaf", "rep_id", "rep_key", F.coalesce("docs", few).cast("long").alias("docs"))
     by = scratch.keep("counted", by)
-    exact = by.where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"), F.col("rep.doc_id").alias("owner"))
+    exact = by.where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"), F.col("rep_id").alias("owner"))
     rest = by.where((F.col("docs") < min_docs) & F.col("leaf").isNotNull())
     open_ = rest.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     rest = scratch.keep("rest", rest.join(open_, "leaf"))
     # the tokens of each such line, from one document that has it
-    wanted = scratch.keep("wanted", rest.groupBy("rep.doc_id", "rep.key").agg(F.collect_list("line").alias("lines")))
+    wanted = scratch.keep("wanted", rest.groupBy(F.col("rep_id").alias("doc_id"), F.col("rep_key").alias("key")).agg(F.collect_list("line").alias("lines")))
     tokens = _of_some(docs, wanted).mapInArrow(_tokens, "leaf long, line long, tokens array<long>").dropDuplicates(["line"])
     tokens = scratch.keep("tokens", tokens.join(rest.select("line", "docs"), "line"))
     each = tokens.select("leaf", "line", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
@@ -319,33 +347,34 @@ def _line_drops(scratch: Scratch, docs: DataFrame, min_docs: int) -> DataFrame:
     general = members.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("owner")).where(F.col("docs") >= min_docs)
     general = template.join(general.select("template", "owner"), "template").select("line", "template", "owner")
     known = scratch.keep("templates", exact.unionByName(general).select("line", "owner"))
-    drops = rows.join(_small(known), "line").where("doc_id <> owner").groupBy("doc_id", "key").agg(F.collect_set("line").alias("_lines"))
+    drops = rows.join(_small(known), "line").where("doc_id <> owner").groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("_lines"))
     drops = scratch.keep("drops", drops)
-    scratch.drop("lines", "by", "counted", "rest", "wanted", "tokens", "general", "templates")
+    scratch.drop("by", "counted", "rest", "wanted", "tokens", "general", "templates")
     return drops
 
 
-def _passage_drops(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, _spans)``: tokens that go, by place."""
-    rows = scratch.keep("anchors", docs.mapInArrow(_anchors, "doc_id long, key long, places array<int>, anchor long, around long"), TEXTS)
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+def _passage_drops(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(doc_id, key, _spans)``: places of the passages and anchors that go."""
+    rows = rows.withColumnsRenamed({"a": "anchor", "b": "around"})
+    ends = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("around").alias("least"), F.max("around").alias("most"))
+    shared = rows.groupBy("anchor").agg(*ends).where("low < high").select("anchor", F.expr("least < most").alias("several"))
     shared = scratch.keep("shared", shared)
     known = scratch.keep("known", rows.join(_small(shared), "anchor"))
-    scratch.drop("anchors", "shared")
-    kinds = scratch.keep("kinds", known.groupBy("anchor", "around").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")))
+    scratch.drop("shared")
+    kinds = scratch.keep("kinds", known.groupBy("anchor", "around").agg(F.min("doc_id").alias("rep")))
+    met = known.join(kinds, ["anchor", "around"]).select("doc_id", "key", "places", F.expr("doc_id <> rep").alias("alike"), "several").where("alike or several")
+    met = scratch.keep("met", met)
+    scratch.drop("known", "kinds")
     # tokens around an anchor that a smaller document has alike
-    alike = known.join(kinds.where("rep < high").select("anchor", "around", "rep"), ["anchor", "around"]).where("doc_id <> rep")
-    alike = alike.select("doc_id", "key", F.transform("places", lambda p: F.struct((p - _REACH).alias("start"), (p + PASSAGE).alias("end"))).alias("spans"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    open_ = known.join(kinds.select("anchor", "around", "rep"), ["anchor", "around"]).where("doc_id = rep").join(several, "anchor")
-    open_ = scratch.keep("open", open_.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
+    alike = met.where("alike").select("doc_id", "key", F.transform("places", lambda p: -1 - p).alias("spans"))
+    open_ = scratch.keep("open", met.where("not alike").groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("places")))
     runs = scratch.keep("runs", _of_some(docs, open_).mapInArrow(_runs, "doc_id long, key long, place int, run long"), TEXTS)
     owned = runs.groupBy("run").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high")).where("owner < high").select("run", "owner")
     partly = runs.join(owned, "run").where("doc_id <> owner")
-    partly = partly.select("doc_id", "key", F.array(F.struct(F.col("place").alias("start"), (F.col("place") + PASSAGE).alias("end"))).alias("spans"))
+    partly = partly.select("doc_id", "key", F.array("place").alias("spans"))
     drops = alike.unionByName(partly).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     drops = scratch.keep("spans", drops)
-    scratch.drop("known", "kinds", "open", "runs")
+    scratch.drop("met", "open", "runs")
     return drops
 
 
@@ -355,27 +384,35 @@ def _rewritten(docs: DataFrame, lines: bool, passages: bool, min_docs: int, leav
     scratch = Scratch(spark, "lines")
     docs = docs.drop("n_lines", "n_dropped", "n_cut", "_lines", "_spans", "_key")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    kinds = (LINE,) * lines + (ANCHORED,) * passages
+    rows = scratch.keep("rows", texts.mapInArrow(lambda it: _read(it, kinds), "doc_id long, key long, places array<int>, a long, b long, kind string"), TEXTS, by="kind")
+    of = {kind: rows.where(F.col("kind") == kind).drop("kind") for kind in kinds}
     found = []
     if lines:
-        found.append(_line_drops(scratch, texts, min_docs).withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
+        found.append(_line_drops(scratch, texts, of[LINE], min_docs).withColumn("_spans", F.lit(None).cast("array<int>")))
     if passages:
-        found.append(_passage_drops(scratch, texts).withColumn("_lines", F.lit(None).cast("array<long>")))
+        found.append(_passage_drops(scratch, texts, of[ANCHORED]).withColumn("_lines", F.lit(None).cast("array<int>")))
+    scratch.drop("rows")
     drops = found[0] if len(found) == 1 else scratch.keep(
         "all", found[0].unionByName(found[1]).groupBy("doc_id", "key").agg(F.first("_lines", ignorenulls=True).alias("_lines"), F.first("_spans", ignorenulls=True).alias("_spans"))
     )
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_lines", "_spans")
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    rest = None
     if (ids := drops.select("_id").distinct()).count() <= MAX_BROADCAST:
-        # only texts that lose something are shuffled
+        # only texts that lose something are shuffled and go to Python
         ids = F.broadcast(ids)
         on = F.col("doc_id").cast("long") == F.col("_id")
-        joined = docs.join(ids, on, "left_semi").join(drops, same, "left").drop("_id", "_key")
         rest = docs.join(ids, on, "left_anti")
-        joined = joined.unionByName(rest.withColumns({n: F.lit(None).cast(joined.schema[n].dataType) for n in ("_lines", "_spans")}))
-    else:
-        joined = docs.join(drops, same, "left").drop("_id", "_key")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_lines", "_spans"))
-    return joined.mapInArrow(lambda it: _apply(it, leave), f"{kept}, text string, n_lines long, n_dropped long, n_cut long")
+        docs = docs.join(ids, on, "left_semi")
+    joined = docs.join(drops, same, "left").drop("_id", "_key")
+    kept = [f for f in joined.schema if f.name not in ("text", "_lines", "_spans")]
+    out = joined.mapInArrow(lambda it: _apply(it, leave), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, n_lines long, n_dropped long, n_cut long")
+    if rest is None:
+        return out
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    none = F.lit(0).cast("long")
+    return out.unionByName(rest.select(*[F.col(f"`{f.name}`") for f in kept], "text", n_lines.alias("n_lines"), none.alias("n_dropped"), none.alias("n_cut")))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leave: float = 1.0) -> DataFrame:

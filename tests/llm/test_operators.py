@@ -392,6 +392,42 @@ def test_passages(spark, odd):
     assert lines.drop_repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_lines_and_passages_hash_words_once(monkeypatch):
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(99)}" for _ in range(30)) for _ in range(6)) for _ in range(20)] + [None, ""]
+    batch = pa.record_batch({"doc_id": pa.array(range(22)), "key": pa.array(range(22)), "text": pa.array(texts, pa.string())})
+    calls, words = [], lines._text.words
+    monkeypatch.setattr(lines._text, "words", lambda *a, **k: calls.append(1) or words(*a, **k))
+    both = pa.Table.from_batches(lines._read(iter([batch]), (lines.LINE, lines.ANCHORED))).to_pylist()
+    assert len(calls) == 1 and {r["kind"] for r in both} == {lines.LINE, lines.ANCHORED}
+    # each row's places are those of its line
+    for r in both:
+        if r["kind"] == lines.LINE:
+            parts = texts[r["doc_id"]].split("\n")
+            assert [k for k, t in enumerate(parts) if t == parts[r["places"][0]]] == r["places"]
+
+
+def test_words_of_long_and_short_blocks(monkeypatch):
+    text = ("Some wörds\tand 12 \n\n others, " * 300).encode()
+    data, off = np.frombuffer(text, np.uint8), np.array([0, 7, 7, len(text)])
+    short = lines._text.words(data, off)
+    monkeypatch.setattr(lines._text, "CHUNK_BYTES", 10)
+    assert all((a == b).all() for a, b in zip(short, lines._text.words(data, off), strict=True))
+
+
+def test_texts_that_lose_nothing_stay_out_of_python(spark):
+    """Their lines are counted by Spark, and what goes is found by its place."""
+    texts = ["a b c", "", "\n\n", None, "x\ny\n", "same line here\nown é", "same line here\nother", "third\nsame line here\nsame line here"]
+    out = lines.dedup_lines(docs(spark, texts))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("MapInArrow") == 1
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped, r.n_cut) for r in out.collect()}
+    assert got == {
+        0: ("a b c", 1, 0, 0), 1: ("", 1, 0, 0), 2: ("\n\n", 3, 0, 0), 3: (None, 0, 0, 0), 4: ("x\ny\n", 3, 0, 0),
+        5: (texts[5], 2, 0, 0), 6: ("other", 2, 1, 0), 7: ("third", 3, 2, 0),
+    }
+
+
 # quality
 
 
