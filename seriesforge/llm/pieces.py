@@ -168,7 +168,9 @@ class _Grown:
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.all):
-            self.all = np.concatenate([self.all[: self.n], np.zeros(self.n + 2 * len(more), self.all.dtype)])
+            larger = np.empty(self.n + self.n // 4 + 2 * len(more), self.all.dtype)
+            larger[: self.n] = self.all[: self.n]
+            self.all = larger
         self.all[self.n : self.n + len(more)] = more
         self.n += len(more)
 
@@ -405,6 +407,7 @@ def _encode(batches: Iterator[pa.RecordBatch], key: str, model: str, theta: floa
             b = batch.slice(first, 250)
             tokens = encode_texts(lattices, b.column(key).to_pylist(), b.column("text").to_pylist(), seed)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.binary())], names=[*b.schema.names, "tokens"])
+        _text.trim()
 
 
 @_text.trims
