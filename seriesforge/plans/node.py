@@ -25,18 +25,23 @@ from seriesforge.sources.log import Log
 
 _KEY = "array<struct<key:string,value:string>>"
 _HEAD = f"tenant string, seq long, labels map<string,string>, label_key {_KEY}, ts_ms long, value double"
+_CHECKED = f"tenant string, seq long, label_key {_KEY}, ts_ms long, value double, admitted boolean, accepted boolean"
 #: Parts of a state after which it is written as one.
 MERGE_AFTER = 16
 
 
 class Node:
-    """Queries see flushed blocks only, and a flush writes what no flush before has."""
+    """Queries see flushed blocks only, and a flush writes what no flush before has.
 
-    def __init__(self, spark: SparkSession, path: str, budget: int = 1_000_000, budgets: DataFrame | None = None):
+    ``budget`` bounds the series of each tenant that ``budgets`` does not name; None sets no bound.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, budget: int | None = None, budgets: DataFrame | None = None):
         self.spark, self.path, self.budget, self.budgets = spark, path.rstrip("/"), budget, budgets
         self._head = Log(spark, f"{self.path}/head", _HEAD)
         self._series = Log(spark, f"{self.path}/series", f"tenant string, label_key {_KEY}")
         self._times = Log(spark, f"{self.path}/times", f"label_key {_KEY}, ts_ms long")
+        self._checked = Log(spark, f"{self.path}/checked", _CHECKED)
         self._closed = False
         self._next = self._head.next()
         self.metas = self._committed()
@@ -148,22 +153,26 @@ class Node:
         gated = self._gated(samples, tenant)
         # the latest time of each series in the head arrives before all new samples
         before = self.latest().withColumn("seq", F.lit(-(1 << 62))).withColumn("admitted", F.lit(True))
-        checked = monotonic(gated.unionByName(before, allowMissingColumns=True), counting="admitted").where("tenant is not null").persist()
+        # label sets are sorted and stored once, as keys; in files, as rows of label sets fill the memory of executors
+        checked = monotonic(gated.drop("labels").unionByName(before, allowMissingColumns=True), counting="admitted").where("tenant is not null")
+        n = self._next
+        self._checked.write(n, checked.select("tenant", "seq", "label_key", "ts_ms", "value", "admitted", "accepted"))
+        checked = self._checked.read(n + 1, n)
         try:
             stop = None
             if strict:
                 stop = checked.where("not accepted").agg(F.min(F.struct("seq", "admitted")).alias("x")).first()["x"]
             kept = checked if stop is None else checked.where(F.col("seq") <= stop["seq"])
-            accepted = kept.where("accepted").drop("admitted", "accepted")
+            accepted = kept.where("accepted").withColumn("labels", F.map_from_entries("label_key"))
             self._commit(accepted, kept.where("admitted").select("tenant", "label_key"))
-            n = accepted.count()
+            count = accepted.count()
         finally:
-            checked.unpersist()
+            self._checked.drop(n)
         if stop is not None:
             if stop["admitted"]:
                 raise ValueError("a time does not rise within its series")
             raise CardinalityLimitExceeded(tenant)
-        return n
+        return count
 
     def ingest(self, body: str, tenant: str = "default", strict: bool = True) -> int:
         """Append a text body; a bad line fails all of it, other errors keep the lines before."""
@@ -173,7 +182,7 @@ class Node:
         """Write unflushed samples as a block that queries read."""
         self._open()
         n = len(self.metas)
-        meta = blocks.write_block(self.head(self.metas[-1]["upto"] if n else 0), f"{self.path}/blocks", part=f"block={n}", more={"upto": self._next})
+        meta = blocks.write_block(self.head(self.metas[-1]["upto"] if n else 0), f"{self.path}/blocks", part=f"block={n}", more={"upto": self._next}, stored=True)
         self.metas.append(meta)
         return meta
 

@@ -48,28 +48,32 @@ def duplicate_times(samples: DataFrame) -> DataFrame:
     return samples.groupBy("label_key", "ts_ms").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def write_block(samples: DataFrame, path: str, check: bool = True, part: str = "", more: dict | None = None) -> dict:
+def write_block(samples: DataFrame, path: str, check: bool = True, part: str = "", more: dict | None = None, stored: bool = False) -> dict:
     """Write ``samples(labels, ts_ms, value)`` as a block, replacing what is there; the meta data, with ``more`` added.
 
     part, such as ``block=3``, puts the block beside others under one path.  The meta data are written last.
+    stored: the samples lie in files, so they are read twice instead of held with their label sets.
     Raises on an empty block, on repeated times of a series, and where label sets share a series id.
     """
     spark = samples.sparkSession
     where = {name: f"{path}/{name}/{part}".rstrip("/") for name in ("samples", "series", "chunks", "meta")}
-    rows = samples.select(label_key(F.col("labels")).alias("label_key"), "ts_ms", "value").persist()
+    rows = samples.select(label_key(F.col("labels")).alias("label_key"), "ts_ms", "value")
     k = F.col("label_key")
     # what is sorted is held, as a sort reads its input twice
+    rows = rows if stored else rows.persist()
     series = rows.select(k).distinct().select(fingerprint(k).alias("series_id"), k, canonical(k).alias("canonical"), F.map_from_entries(k).alias("labels")).persist()
+    numbered = rows.join(series.select("label_key", "series_id"), "label_key").select("series_id", "ts_ms", "value", (F.col("ts_ms") - F.col("ts_ms") % BLOCK_MS).alias("block_start"))
+    numbered = numbered.persist() if stored else numbered
     try:
         if rows.isEmpty():
             raise ValueError("an empty block")
         series.orderBy("series_id").write.mode("overwrite").parquet(where["series"])
         if check and not series.groupBy("series_id").count().where("count > 1").isEmpty():
             raise ValueError("label sets share a series id")
-        stored = rows.join(series.select("label_key", "series_id"), "label_key").select("series_id", "ts_ms", "value", (F.col("ts_ms") - F.col("ts_ms") % BLOCK_MS).alias("block_start"))
-        stored.repartitionByRange("block_start", "series_id").sortWithinPartitions("block_start", "series_id", "ts_ms").write.mode("overwrite").partitionBy("block_start").option("compression", "zstd").parquet(where["samples"])
+        numbered.repartitionByRange("block_start", "series_id").sortWithinPartitions("block_start", "series_id", "ts_ms").write.mode("overwrite").partitionBy("block_start").option("compression", "zstd").parquet(where["samples"])
         n_series = series.count()
     finally:
+        numbered.unpersist()
         series.unpersist()
         rows.unpersist()
     # each window of a series is a chunk; a time held twice shows as fewer distinct times than samples

@@ -89,3 +89,32 @@ def test_monotonic_accept_sorts_no_maps(spark):
     lines = _plan(df)
     windows = [i for i, line in enumerate(lines) if "Window [" in line and "_inside" in line]
     assert windows and all("labels#" not in lines[i + 1] for i in windows)
+
+
+def test_without_a_budget_every_series_is_let_in(spark, tmp_path):
+    s = _samples(spark, 40, 40)
+    with Node(spark, f"file://{tmp_path}/node") as node:
+        # no series are ranked, as no number of them is too large
+        assert not any("row_number" in line for line in _plan(node._gated(s, "t")))
+        assert node.append(s) == 40 and node.series_count() == 40
+        assert node.head().where(label_key(F.col("labels")) != F.col("label_key")).count() == 0
+    keyed = s.withColumn("label_key", label_key(F.col("labels")))
+    two = keyed.withColumn("tenant", F.lit("t")).unionByName(keyed.withColumn("tenant", F.lit("u")))
+    for known, n in ((None, 2), (keyed.where("seq = 39").select(F.lit("u").alias("tenant"), "label_key"), 2)):
+        gated = ingestion.tenant_gate(two, spark.createDataFrame([("u", 2)], "tenant string, max_active_series int"), None, known=known)
+        assert {r[0]: r[1] for r in gated.where("admitted").groupBy("tenant").count().collect()} == {"t": 40, "u": n}
+
+
+def test_an_append_holds_no_label_sets(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    held = []
+    persist = DataFrame.persist
+    monkeypatch.setattr(DataFrame, "persist", lambda df, *a: held.append((df.columns, df.count())) or persist(df, *a))
+    with Node(spark, f"file://{tmp_path}/node") as node:
+        assert node.append(_samples(spark, 90, 9)) == 90
+        node.flush()
+        assert node.samples().count() == 90
+    # label sets are held once a series, not once a sample
+    assert all(n <= 9 for columns, n in held if {"labels", "label_key"} & set(columns))
+    assert node._checked.parts() == []
