@@ -105,6 +105,24 @@ def test_without_a_budget_every_series_is_let_in(spark, tmp_path):
         assert {r[0]: r[1] for r in gated.where("admitted").groupBy("tenant").count().collect()} == {"t": 40, "u": n}
 
 
+def test_a_stream_without_a_budget_refuses_no_series(spark, tmp_path):
+    lines = spark.range(60).select(F.col("id").alias("seq"), F.lit("t").alias("tenant"), F.format_string('m{a="%d"} %d 1', F.col("id") % 40, F.col("id")).alias("line"))
+    ingest = Ingest(spark, f"file://{tmp_path}/store")
+    for batch, part in enumerate((F.col("seq") < 20, F.col("seq") >= 20)):
+        ingest.ingest_batch(lines.where(part), batch)
+    assert ingest.samples().count() == 60 and ingest.series().count() == 40 and ingest.rejected().count() == 0
+    # what only one batch reads is gone
+    assert ingest._logs["parsed"].parts() == ingest._logs["checked"].parts() == []
+
+
+def test_the_streaming_queries_have_no_budget(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stored, "Ingest", lambda *a, **k: seen.append(Ingest(*a, **k)) or seen[-1])
+    assert catalog.QUERIES["streaming_state"](spark, "/root/testdata/sf0.001").count() == 1
+    assert catalog.QUERIES["streaming_restart"](spark, "/root/testdata/sf0.001").count() == 1000
+    assert [i.budget for i in seen] == [None, None]
+
+
 def test_an_append_holds_no_label_sets(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrame
 
