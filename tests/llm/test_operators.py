@@ -503,6 +503,28 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_text_beside_an_article(spark):
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    slogan, banner = "all the news of the day", prose(15)
+    rows, want = [], {}
+    for i in range(30):
+        a, b, c, d = prose(20), prose(9), prose(25), prose(3)
+        rows.append((i, f"http://a.org/{i}", f"<div>{slogan}</div><p>{a}<article><h1>{b}</h1></article><div>{banner} {d}</div><main><p>{c}</main><p>{banner}"))
+        want[i] = f"{a} {b} {d} {c}"
+    # equal open text beside other articles is shared by distinct pages; beside the same article the page is the same
+    rows += [(100 + i, "http://b.org/x", f"<p>{slogan}</p><article>{'one' if i < 2 else 'two'}</article>") for i in range(3)]
+    rows += [(200 + i, "http://c.org/x", f"<article>one</article><p>{slogan}</p>") for i in range(2)]
+    rows += [(300, "http://d.org/x", "<article>one</article><nav>menu</nav><article> </article>")]
+    want |= {100: "one", 101: "one", 102: "two", 200: f"one {slogan}", 201: f"one {slogan}", 300: "one"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (html.GROUP, 60):
+        assert {r.page_id: r.text for r in html.extract(pages, group).collect()} == want
+
+
 def test_html_split_host(spark):
     rng = random.Random(3)
 
