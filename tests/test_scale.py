@@ -84,6 +84,21 @@ def test_monotonic_wide_gaps_and_long_series(spark):
         assert {(r["seq"], r["accepted"]) for r in ingestion.monotonic(s, stretch=stretch, counting="counts").collect()} == want
 
 
+def test_monotonic_of_equal_arrival_numbers(spark):
+    # of one number, times fall in one row order and rise in the other; both are the same rows
+    rows = [("a" if n % 2 else "b", None if n > 36 else n // 4, t) for n in range(40) for t in (n * 10 + 3, n * 10, n * 10 + 7, n * 10 + 3, -5)]
+    want = set()
+    for series in "ab":
+        top = None
+        for seq, t in sorted(((seq, t) for s, seq, t in rows if s == series), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+            want.add((series, seq, t, t >= 0 and (top is None or t > top)))
+            top = t if top is None else max(top, t)
+    for stood in (rows, rows[::-1]):
+        s = spark.createDataFrame(stood, "s string, seq long, ts_ms long").coalesce(1).withColumn("label_key", label_key(F.create_map(F.lit("s"), "s")))
+        for stretch in (3, 1 << 30):
+            assert {(r["s"], r["seq"], r["ts_ms"], r["accepted"]) for r in ingestion.monotonic(s, stretch=stretch).collect()} == want
+
+
 def test_monotonic_accept_sorts_no_maps(spark):
     df = catalog.QUERIES["monotonic_accept"](spark, "/root/testdata/sf0.001")
     lines = _plan(df)
